@@ -11,6 +11,12 @@ from feedspark.llm.shared import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedspark.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedspark.llm.decontamination import decontaminate
 
@@ -32,7 +38,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op4_decontamination, op5_token_counts, op7_warc]
+    found = [op3_near_dedup, op4_decontamination, op5_token_counts, op7_warc]
     return {q.__name__: q for q in found}
 
 
