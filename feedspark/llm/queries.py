@@ -4,13 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from feedspark.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _held_out(parts: int, rest: int) -> Column:
+    """Whether crc32 of the id as text leaves this rest; false for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == rest, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedspark.llm.language_id import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~_held_out(4, 2)))
+    return identify(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "spans")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedspark.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels").where(~_held_out(5, 0)))
+    return score(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedspark.llm.near_dedup import near_duplicates
 
@@ -38,7 +60,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op3_near_dedup, op4_decontamination, op5_token_counts, op7_warc]
+    found = [op1_language_id, op2_toxicity, op3_near_dedup, op4_decontamination, op5_token_counts, op7_warc]
     return {q.__name__: q for q in found}
 
 
