@@ -59,8 +59,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(table(spark, sf_dir, "pages"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedspark.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_language_id, op2_toxicity, op3_near_dedup, op4_decontamination, op5_token_counts, op7_warc]
+    found = [op1_language_id, op2_toxicity, op3_near_dedup, op4_decontamination, op5_token_counts, op7_warc, op8_mixing]
     return {q.__name__: q for q in found}
 
 
