@@ -53,6 +53,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedspark.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedspark.llm.warc import roundtrip
 
@@ -66,7 +72,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_language_id, op2_toxicity, op3_near_dedup, op4_decontamination, op5_token_counts, op7_warc, op8_mixing]
+    found = [op1_language_id, op2_toxicity, op3_near_dedup, op4_decontamination, op5_token_counts, op6_neighbours, op7_warc, op8_mixing]
     return {q.__name__: q for q in found}
 
 
