@@ -71,10 +71,72 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+#: Dated entries of four lists: list, kind, pattern, action, event, day, seq.
+URL_ENTRIES = [
+    ("spam", "domain", "cheap-pills.example.com", "block", "add", "2024-01-01", 1),
+    ("spam", "domain", "cheap-pills.example.com", "block", "remove", "2024-09-01", 2),
+    ("spam", "host", "tionsh.example.net", "block", "add", "2024-02-10", 3),
+    ("spam", "host", "tionsh.example.net", "block", "remove", "2024-03-10", 4),
+    ("spam", "host", "tionsh.example.net", "block", "add", "2024-07-01", 5),
+    ("optout", "prefix", "tionsh.example.net/de/", "block", "add", "2024-04-01", 6),
+    ("optout", "prefix", "ththon.example.com/en/", "block", "add", "2024-01-15", 7),
+    ("optout", "domain", "ththre.example.org", "block", "add", "2024-05-05", 8),
+    ("optout", "domain", "ththre.example.org", "block", "remove", "2024-05-05", 9),
+    ("optout", "domain", "thther.example.org", "block", "add", "2024-06-01", 10),
+    ("adult", "domain", "example.org", "block", "add", "2024-10-01", 11),
+    ("adult", "domain", "example.org", "block", "remove", "2024-11-15", 12),
+    ("trusted", "host", "blog.ththth.example.org", "allow", "add", "2024-01-01", 13),
+    ("trusted", "prefix", "tionsh.example.net/en/", "allow", "add", "2024-08-01", 14),
+    ("trusted", "domain", "thther.example.org", "allow", "add", "2024-11-01", 15),
+]
+_ENTRY_ROWS = ", ".join(f"('{li}', '{ki}', '{pa}', '{ac}', '{ev}', TIMESTAMP '{day} 00:00:00', {seq})" for li, ki, pa, ac, ev, day, seq in URL_ENTRIES)
+#: A page's fetch time, which the table lacks: a day of 2024 that depends on its id.
+FETCH_EPOCH, FETCH_STEP, FETCH_DAYS = 1704067200, 37, 365
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedspark.llm.url_filters import filter_captures
+
+    at = F.timestamp_seconds(FETCH_EPOCH + F.pmod(F.col("page_id") * FETCH_STEP, F.lit(FETCH_DAYS)) * 86400)
+    entries = spark.sql(f"SELECT * FROM VALUES {_ENTRY_ROWS} AS t(list, kind, pattern, action, event, at, seq)")
+    found = filter_captures(table(spark, sf_dir, "pages").select("page_id", "url", at.alias("fetched_at")), entries)
+    return found.withColumn("fetched_at", F.unix_seconds("fetched_at"))
+
+
+OP9_SQL = f"""
+WITH entries AS (SELECT * FROM (VALUES {_ENTRY_ROWS}) t(list, kind, pattern, action, event, at_, seq)),
+valid AS (
+  SELECT * FROM (SELECT *, lead(at_) OVER (PARTITION BY list, kind, pattern ORDER BY at_, seq) AS until_ FROM entries)
+  WHERE event = 'add' AND (until_ IS NULL OR until_ > at_)
+),
+captures AS (
+  SELECT page_id, url, {FETCH_EPOCH} + (page_id * {FETCH_STEP} % {FETCH_DAYS}) * 86400 AS fetched_at,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+),
+matched AS (
+  SELECT c.page_id, v.list, v.kind, v.pattern, v.action
+  FROM captures c JOIN valid v ON epoch(v.at_) <= c.fetched_at AND (v.until_ IS NULL OR c.fetched_at < epoch(v.until_))
+   AND CASE v.kind WHEN 'host' THEN c.host = v.pattern
+                   WHEN 'domain' THEN c.host = v.pattern OR ends_with(c.host, '.' || v.pattern)
+                   ELSE starts_with(c.host || lower(c.path), v.pattern) END
+),
+best AS (
+  SELECT page_id, count(*) AS n_entries, string_agg(DISTINCT list, ',' ORDER BY list) AS lists,
+         max({{'k': CASE kind WHEN 'domain' THEN 1 WHEN 'host' THEN 2 ELSE 3 END, 'l': length(pattern), 'a': action = 'allow', 'e': kind || ':' || pattern}}) AS b
+  FROM matched GROUP BY page_id
+)
+SELECT c.page_id, c.host, CAST(c.fetched_at AS BIGINT) AS fetched_at, coalesce(b.n_entries, 0) AS n_entries, coalesce(b.lists, '') AS lists,
+       b.b.e AS entry, CASE WHEN b.b IS NULL OR b.b.a THEN 'keep' ELSE 'block' END AS decision
+FROM captures c LEFT JOIN best b USING (page_id)
+"""
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_language_id, op2_toxicity, op3_near_dedup, op4_decontamination, op5_token_counts, op6_neighbours, op7_warc, op8_mixing]
+    found = [op1_language_id, op2_toxicity, op3_near_dedup, op4_decontamination, op5_token_counts, op6_neighbours, op7_warc, op8_mixing, op9_url_filters]
     return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filters": OP9_SQL}
