@@ -25,9 +25,10 @@ from feedspark.llm.components import components
 from feedspark.llm.shared import prepare, small, written
 from feedspark.llm.shingles import mix, shingle_set
 
-#: Independent trees, branches of a node, levels. A pair of similarity 0.85 gets through
-#: the two levels before the first comparison, in at least one tree, but for 1 in a million.
-TREES, BRANCHES, LEVELS = 4, 2, 4
+#: Independent trees; branches of a node at the two levels before the first comparison, and
+#: how many levels a large branch goes on with one token each. A pair of similarity 0.85 misses
+#: the first comparison in all trees once in a million, and the last level's once in 30,000.
+TREES, BRANCHES, FIRST, LEVELS = 4, 2, 2, 4
 #: Members up to which a branch is compared exhaustively.
 LEAF = 64
 #: Sketch: one byte of each of 64 minwise tokens. Of a pair at 0.85, 54.5 agree on average
@@ -38,11 +39,12 @@ BLOCK_DOCS, BLOCK_BYTES = 256, 16 << 20
 #: Expected members of a component that stand in each of its blocks.
 PIVOTS = 12
 #: Rows up to which ids of proposed documents are broadcast; beyond, texts are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 500_000
 #: Cells of a block's member-by-shingle matrix at a time.
 CELLS = 4 << 20
 
-_TOKENS = TREES * LEVELS * BRANCHES
+_PATHS = TREES * BRANCHES**FIRST
+_TOKENS = TREES * BRANCHES * FIRST + _PATHS * (LEVELS - FIRST)
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -77,26 +79,22 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                     continue
                 best = minwise(s)
                 nodes.append(node_of(s))
-                tokens.append(best[:_TOKENS].view(np.int64))
+                tokens.append((best[:_TOKENS] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 sketches.append((mix(best) & np.uint64(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "n", "node", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sketches, pa.binary())], names=["id", "n", "node", "tokens", "sketch"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n bigint, node binary, tokens array<bigint>, sketch binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n bigint, node binary, tokens array<int>, sketch binary")
 
 
-def _token(tree: int, level: int, branch: int) -> Column:
-    return F.col("tokens")[(tree * LEVELS + level) * BRANCHES + branch]
-
-
-def _paths(level: int) -> list[tuple[Column | None, Column]]:
-    """(parent's key, key) of every branch at a level (the first comparison is at level 2)."""
-
-    def keys(tree: int, depth: int) -> list[tuple[Column | None, Column]]:
-        if depth == 0:
-            return [(None, F.lit(tree).cast("bigint"))]
-        return [(key, F.xxhash64(key, _token(tree, depth - 1, b))) for _, key in keys(tree, depth - 1) for b in range(BRANCHES)]
-
-    return [x for tree in range(TREES) for x in keys(tree, level)]
+def _paths(level: int) -> list[tuple[Column, Column]]:
+    """(parent's key, key) of every branch at a level, from the first that is compared on."""
+    found = [(F.lit(t).cast("bigint"), F.lit(t).cast("bigint")) for t in range(TREES)]
+    for depth in range(FIRST):
+        found = [(key, F.xxhash64(key, F.col("tokens")[(depth * TREES + k * TREES // len(found)) * BRANCHES + b])) for k, (_, key) in enumerate(found) for b in range(BRANCHES)]
+    for depth in range(FIRST, level):
+        at = TREES * BRANCHES * FIRST + (depth - FIRST) * _PATHS
+        found = [(key, F.xxhash64(key, F.col("tokens")[at + k])) for k, (_, key) in enumerate(found)]
+    return found
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -141,16 +139,15 @@ def _compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def proposals(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all nodes which meet in a tree and whose sketches agree."""
-    edges, active = None, nodes
-    parents = None
-    for level in range(2, LEVELS + 1):
-        branch = [F.struct((p if p is not None else F.lit(0)).alias("parent"), k.alias("key")) for p, k in _paths(level)]
+    edges, active, parents = None, nodes, None
+    for level in range(FIRST, LEVELS + 1):
+        branch = [F.struct(p.alias("parent"), k.alias("key")) for p, k in _paths(level)]
         rows = active.select("node", F.explode(F.array_distinct(F.array(*branch))).alias("x")).select("node", "x.parent", "x.key")
         if parents is not None:
-            rows = rows.join(small(parents, 100_000), "parent", "left_semi")
+            rows = rows.join(small(parents, BROADCAST_IDS), "parent", "left_semi")
         rows = rows.select("key", "node")
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
-        met = written(rows.join(counts, "key"), f"level{level}")
+        counts = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1"), "counts")
+        met = written(rows.join(small(counts, BROADCAST_IDS), "key"), "met")
         leaves = met.where(F.col("size") <= LEAF).select("key", "node").join(nodes.select("node", "sketch"), "node")
         leaves = leaves.groupBy("key").agg(F.collect_list(F.struct("node", "sketch")).alias("members")).select("members")
         found = leaves.mapInArrow(_compare_leaves, _EDGE)
@@ -159,7 +156,7 @@ def proposals(nodes: DataFrame) -> DataFrame:
         if level == LEVELS:
             edges = edges.unionByName(big.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
             break
-        parents = written(big.select(F.col("key").alias("parent")).distinct(), "parents")
+        parents = written(counts.where(F.col("size") > LEAF).select(F.col("key").alias("parent")), "parents")
         if not parents.take(1):
             break
         active = nodes.join(big.select("node").distinct(), "node", "left_semi")
@@ -184,8 +181,9 @@ def links_within(sets: list[np.ndarray], percent: int, left: np.ndarray | None =
         row, col = row[keep], number[where[keep]]
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
-        step = max(1, CELLS // m)
-        for at in range(0, int(twice.sum()), step):
+        columns = int(twice.sum())
+        step = max(1, min(CELLS // m, columns))
+        for at in range(0, columns, step):
             lo, hi = np.searchsorted(col, (at, at + step))
             part = np.zeros((m, step), dtype=np.float32)
             part[row[lo:hi], col[lo:hi] - at] = 1
@@ -210,6 +208,8 @@ def _compare_blocks(percent: int):
                 if k != block and nodes:
                     yield done()
                     nodes, sets, side = [], [], []
+                if k == block and nodes and (nodes[-1], side[-1]) == (node, v):
+                    continue  # from a row that repeats an id
                 block = k
                 nodes.append(node)
                 sets.append(np.frombuffer(s, np.uint64))
@@ -222,8 +222,8 @@ def _compare_blocks(percent: int):
 
 def _in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among the ``members`` (block, node, side) of each block."""
-    rows = members.join(sets, "node").select("block", "node", "set", "side")
-    return rows.repartition("block").sortWithinPartitions("block", "node").mapInArrow(_compare_blocks(percent), _EDGE)
+    rows = sets.join(small(members, BROADCAST_IDS), "node").select("block", "node", "set", "side")
+    return rows.repartition("block").sortWithinPartitions("block", "side", "node").mapInArrow(_compare_blocks(percent), _EDGE)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,8 +256,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
             found = [s for s in found if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "set"])
 
-    whole = texts.mapInArrow(full, "node binary, set binary")
-    sets = written(whole.join(proposed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = written(texts.mapInArrow(full, "node binary, set binary").join(small(proposed.select("node"), BROADCAST_IDS), "node", "left_semi"), "sets")
 
     size = proposed.groupBy("label").agg(F.count(F.lit(1)).alias("members"), (8 * F.sum("n")).alias("bytes"))
     size = size.select("label", F.greatest(F.ceil(F.col("members") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("bigint").alias("blocks"), "members")
@@ -267,26 +266,32 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
         "placed",
     )
     everywhere = F.when(F.col("pivot"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array("part"))
-    first = placed.select("node", "label", F.explode(everywhere).alias("part")).select(F.concat_ws("/", F.hex("label"), "part").alias("block"), "node", F.lit(0).alias("side"))
-    links = written(_in_blocks(first, sets, percent), "links")
-
-    several = placed.where("blocks > 1")
+    blocks = F.concat_ws("/", F.hex("label"), "part").alias("block")
+    first = placed.select("node", "label", "blocks", F.explode(everywhere).alias("part")).select(blocks, "node", F.lit(0).alias("side"))
+    links = written(_in_blocks(written(first, "first"), sets, percent), "links")
+    # In a component of one block each link already leads to the smallest of its class.
+    several = placed.where("blocks > 1").select("node", "label", "blocks", "part")
+    classes = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     if several.take(1):
-        label = components(links)
-        now = written(several.join(label.select("node", F.col("label").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node")), "classes")
+        several = written(several, "several")
+        inside = small(several.select(F.col("node").alias("a")), BROADCAST_IDS)
+        classes, partial = classes.join(inside, F.col("a") == F.col("node"), "left_anti"), written(links.join(inside, "a", "left_semi"), "partial")
+        label = components(partial)
+        now = several.join(label.select("node", F.col("label").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
+        now = written(now, "classes")
         main = now.groupBy("label", "class").agg(F.count(F.lit(1)).alias("k")).groupBy("label").agg(F.max_by("class", F.struct("k", "class")).alias("main"))
-        now = now.join(main, "label")
-        rest = now.where(F.col("class") != F.col("main"))
-        parts = rest.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("bigint").alias("rests"))
-        now, rest = now.join(parts, "label"), rest.join(parts, "label")
+        rests = now.join(main, "label").where(F.col("class") != F.col("main"))
+        parts = written(rests.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("bigint").alias("rests")).join(main, "label"), "rests")
+        now = written(now.join(small(parts, BROADCAST_IDS), "label"), "compared")
         side = F.pmod(F.xxhash64("node", F.lit(5)), "rests")
         block = F.concat_ws("/", F.hex("label"), "part", "rest")
-        # A member of the rest stands on the rest's side (1) in its own part as in all others; the
-        # others of the part stand on side 0. Two of the rest in one part meet through their second rows.
-        ones = rest.withColumn("rest", side).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(block.alias("block"), "node", F.lit(1).alias("side"))
+        # One outside the main class stands on side 1 in every part of its component, and all the members
+        # of a part stand there on side 0; pairs across are compared.
+        ones = now.where(F.col("class") != F.col("main")).withColumn("rest", side).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(block.alias("block"), "node", F.lit(1).alias("side"))
         zeros = now.withColumn("rest", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rests") - 1))).select(block.alias("block"), "node", F.lit(0).alias("side"))
-        links = links.unionByName(_in_blocks(ones.unionByName(zeros), sets, percent))
-    classes = components(links)
+        more = _in_blocks(written(ones.unionByName(zeros), "second"), sets, percent)
+        classes = classes.unionByName(components(partial.unionByName(more)))
+    classes = written(classes.unionByName(classes.select(F.col("label").alias("node"), "label")).distinct(), "classes")
     least = classes.join(nodes.select("node", "least"), "node")
     least = least.groupBy("label").agg(F.min("least").alias("component"))
     of_node = classes.join(least, "label").select("node", "component")

@@ -103,6 +103,12 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fetched_at", F.unix_seconds("fetched_at"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedspark.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("notices")
+
+
 OP9_SQL = f"""
 WITH entries AS (SELECT * FROM (VALUES {_ENTRY_ROWS}) t(list, kind, pattern, action, event, at_, seq)),
 valid AS (
@@ -134,7 +140,7 @@ FROM captures c LEFT JOIN best b USING (page_id)
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_language_id, op2_toxicity, op3_near_dedup, op4_decontamination, op5_token_counts, op6_neighbours, op7_warc, op8_mixing, op9_url_filters]
+    found = [op1_language_id, op2_toxicity, op3_near_dedup, op4_decontamination, op5_token_counts, op6_neighbours, op7_warc, op8_mixing, op9_url_filters, op10_license_scan]
     return {q.__name__: q for q in found}
 
 

@@ -211,7 +211,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     src = src.withColumn("sha", F.sha1(F.encode("body", "UTF-8")))
     equal = src.where(F.col("id").isNotNull() & (F.octet_length("body") >= dedup_from)).groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
     joined = src.join(equal, "sha", "left").select("id", "url", "body", F.when(F.octet_length("body") >= dedup_from, F.col("first")).alias("first"))
-    samples = [(r[0] or "").encode("utf-8", "surrogatepass")[:DICT_PAGE_BYTES] for r in pages.select(F.substring(F.col(payload_col).cast("string"), 1, DICT_PAGE_BYTES), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col)).orderBy("h", id_col).limit(DICT_PAGES).collect()]
+    chosen = pages.where(F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id")).distinct().orderBy("h", "id").limit(DICT_PAGES)
+    chosen = [r.id for r in chosen.collect()]
+    body = F.substring(F.col(payload_col).cast("string"), 1, DICT_PAGE_BYTES)
+    samples = pages.where(F.col(id_col).isin(chosen)).groupBy(F.col(id_col).alias("id")).agg(F.min(body).alias("body")).orderBy("id").collect()
+    samples = [(r.body or "").encode("utf-8", "surrogatepass")[:DICT_PAGE_BYTES] for r in samples]
     shared = spark.sparkContext.broadcast(train_dictionary([x for x in samples if x]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
