@@ -14,7 +14,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Boosted:
     """Complete trees of one depth, kept as arrays: a feature and a threshold for each inner node, a value for each leaf."""
 
-    def __init__(self, trees: int = 150, depth: int = 3, rate: float = 0.1, least: float = 5.0, ridge: float = 2.0) -> None:
+    def __init__(self, trees: int = 150, depth: int = 3, rate: float = 0.1, least: float = 1.0, ridge: float = 2.0) -> None:
         self.trees, self.depth, self.rate, self.least, self.ridge = trees, depth, rate, least, ridge
         self.base = 0.0
         self.feature = np.zeros((0, (1 << depth) - 1), dtype=np.int64)

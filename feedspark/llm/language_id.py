@@ -233,3 +233,17 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, id_col: str
             )
 
     return out.mapInArrow(run, f"id {kind}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>").withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.25, switch: float = SWITCH, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is in a known language: not `und`, and with
+    a score of at least ``least``. No row leaves its partition."""
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = label(shared.value, [t or "" for t in b.column(at).to_pylist()], switch)
+            yield b.filter(pa.array([x[0] != "und" and x[1] >= least for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,8 @@ COPIES, HELD_OUT = 24, 8
 ROUNDS, RATE, SPARSE = 400, 1.0, 2e-4
 #: Probability that a known family must reach, and the share of a paragraph's or template's trigrams that must agree.
 SURE, AGREE = 0.5, 0.5
-WORD = r"[a-z0-9]+(?:[.+'-][a-z0-9]+)*"
+#: A word; a version with its number is one.
+WORD = r"version [0-9]+(?:[.][0-9]+)*|[a-z0-9]+(?:[.+'-][a-z0-9]+)*"
 #: Words that say nothing by themselves; an n-gram counts if it holds another one.
 COMMON = frozenset(
     "a an the of to in on at by for from with without and or is are was be been it its this that these those as any all not no you your he she they we their his her may can shall will which who "
@@ -41,8 +42,8 @@ def tokens(text: str) -> list[str]:
 
 def grams(words: list[str]) -> set[str]:
     """Words and pairs of words that hold a word not in :data:`COMMON`."""
-    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-    return {g for g in [*words, *pairs] if not COMMON.issuperset(g.split(" "))}
+    pairs = [f"{a}|{b}" for a, b in zip(words, words[1:], strict=False)]
+    return {g for g in [*words, *pairs] if not COMMON.issuperset(g.split("|"))}
 
 
 def trigrams(words: list[str]) -> list[str]:
@@ -132,7 +133,7 @@ def train() -> Model:
     loss = [-np.log(np.maximum(soft(z / t)[np.arange(len(hy)), hy], 1e-12)).mean() for t in temperatures]
     keep = np.flatnonzero(np.abs(w).max(axis=1) > 1e-3)
     weights = {vocab[i]: [round(float(v), 5) for v in w[i]] for i in keep}
-    anchors = sorted({a for g in weights for a in g.split(" ") if a not in COMMON})
+    anchors = sorted({a for g in weights for a in g.split("|") if a not in COMMON})
     return Model(families, weights, [round(float(v), 5) for v in b], float(temperatures[int(np.argmin(loss))]), anchors, [[trigrams(tokens(t)) for t in TEMPLATES[f]] for f in families[:-1]])
 
 
@@ -142,7 +143,7 @@ def _literal(value: object, kind: str) -> Column:
 
 
 def _grams(words: Column) -> Column:
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws("|", a, b))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(words, pairs))
 
 

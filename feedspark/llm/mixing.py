@@ -50,9 +50,14 @@ def _spot(key: Column) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("")), F.lit(29)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+def measures(id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> dict[str, Column]:
+    """What a row needs to be mixed: source, size and u, a number that depends on its id."""
+    return {"source": F.col(source_col).cast("string"), "size": _size(F.col(text_col)), "u": _spot(F.col(id_col))}
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, source, size, u) of each row."""
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _size(F.col(text_col)).alias("size"), _spot(F.col(id_col)).alias("u"))
+    return docs.select(F.col(id_col).alias("id"), *[c.alias(n) for n, c in measures(id_col, text_col, source_col).items()])
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:

@@ -26,14 +26,14 @@ from feedspark.llm.shared import prepare, small, written
 from feedspark.llm.shingles import mix, shingle_set
 
 #: Independent trees; branches of a node at the two levels before the first comparison, and
-#: how many levels a large branch goes on with one token each. A pair of similarity 0.85 misses
-#: the first comparison in all trees once in a million, and the last level's once in 30,000.
+#: how many levels a large branch goes on with one token each. A pair of similarity 0.85 (0.8) misses the
+#: first comparison in all trees 7 (80) times in ten million, and the last level's 3 (50) times in 100,000.
 TREES, BRANCHES, FIRST, LEVELS = 4, 2, 2, 4
 #: Members up to which a branch is compared exhaustively.
 LEAF = 64
-#: Sketch: one byte of each of 64 minwise tokens. Of a pair at 0.85, 54.5 agree on average
-#: (deviation 2.9); 41 of them are asked for.
-SKETCH, AGREE = 64, 41
+#: Sketch: one byte of each of 64 minwise tokens. As many must agree as a pair at the limit has on average,
+#: less 4.7 standard deviations: 40 of 64 at 0.85, 36 at 0.8.
+SKETCH, DEVIATIONS = 64, 4.7
 #: Bounds of a block of full sets.
 BLOCK_DOCS, BLOCK_BYTES = 256, 16 << 20
 #: Expected members of a component that stand in each of its blocks.
@@ -121,23 +121,32 @@ def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], names=["a", "b"])
 
 
-def _compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out, seen = [], set()
-        for members in batch.column(0).to_pylist():
-            members.sort(key=lambda m: m["node"])
-            key = b"".join(m["node"] for m in members)
-            if key in seen:
-                continue
-            seen.add(key)
-            sk = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), SKETCH)
-            agree = (sk[:, None, :] == sk[None, :, :]).sum(axis=2) >= AGREE
-            a, b = np.nonzero(np.triu(agree, 1))
-            out += [(members[i]["node"], members[j]["node"]) for i, j in spanning(len(members), a, b)]
-        yield _edges(out)
+def agreeing(percent: int) -> int:
+    """Bytes of two sketches that must agree."""
+    s = percent / 100
+    return int(SKETCH * s - DEVIATIONS * (SKETCH * s * (1 - s)) ** 0.5)
 
 
-def proposals(nodes: DataFrame) -> DataFrame:
+def _compare_leaves(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, seen = [], set()
+            for members in batch.column(0).to_pylist():
+                members.sort(key=lambda m: m["node"])
+                key = b"".join(m["node"] for m in members)
+                if key in seen:
+                    continue
+                seen.add(key)
+                sk = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), SKETCH)
+                agree = (sk[:, None, :] == sk[None, :, :]).sum(axis=2) >= least
+                a, b = np.nonzero(np.triu(agree, 1))
+                out += [(members[i]["node"], members[j]["node"]) for i, j in spanning(len(members), a, b)]
+            yield _edges(out)
+
+    return run
+
+
+def proposals(nodes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect all nodes which meet in a tree and whose sketches agree."""
     edges, active, parents = None, nodes, None
     for level in range(FIRST, LEVELS + 1):
@@ -150,7 +159,7 @@ def proposals(nodes: DataFrame) -> DataFrame:
         met = written(rows.join(small(counts, BROADCAST_IDS), "key"), "met")
         leaves = met.where(F.col("size") <= LEAF).select("key", "node").join(nodes.select("node", "sketch"), "node")
         leaves = leaves.groupBy("key").agg(F.collect_list(F.struct("node", "sketch")).alias("members")).select("members")
-        found = leaves.mapInArrow(_compare_leaves, _EDGE)
+        found = leaves.mapInArrow(_compare_leaves(agreeing(percent)), _EDGE)
         edges = found if edges is None else edges.unionByName(found)
         big = met.where(F.col("size") > LEAF)
         if level == LEVELS:
@@ -243,7 +252,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
     sig = written(signatures(docs, words, id_col, text_col), "signatures")
     usable = sig.where("node IS NOT NULL AND id IS NOT NULL")
     nodes = written(usable.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "nodes")
-    proposed = written(components(proposals(nodes)).join(nodes.select("node", "least", "n"), "node"), "proposed")
+    proposed = written(components(proposals(nodes, percent)).join(nodes.select("node", "least", "n"), "node"), "proposed")
 
     # Full sets of the proposed nodes, from one text each.
     wanted = proposed.select("least").distinct()

@@ -11,23 +11,26 @@ from pyspark.sql import functions as F
 
 from feedspark.llm.boosting import Boosted, Isotonic
 from feedspark.llm.shared import prepare, written
-from feedspark.llm.shingles import IS_ALNUM_WORD, IS_SPACE_WORD, word_hashes
+from feedspark.llm.shingles import IS_ALNUM_WORD, IS_SPACE_WORD, mix, window_hashes, word_hashes
 
 #: Labelled texts that the model learns from, about; chosen by a hash of their ids.
 TRAIN_DOCS = 16_000
-#: Words learned from the labels, at most, and the documents of either label that they must be in.
-LEARNED, LEAST_DOCS = 400, 8
+#: Words and word beginnings learned from the labels, at most; the different toxic texts that they must be in, and
+#: the log-odds that they must have for sure (less ``SURE`` standard deviations).
+LEARNED, LEAST_DOCS, LEAST_ODDS, SURE = 4000, 4, 2.0, 1.5
+#: Bytes of the word beginnings.
+STEMS = (4, 5, 6)
 #: Words within which a second-person word is near an insult, and the width of the densest stretch.
 NEAR, STRETCH = 4, 40
 #: Bytes of text that are turned into features at a time.
 CHUNK = 2 << 20
 
 INSULTS = (
-    "idiot idiots moron morons scum trash loser losers worthless pathetic disgusting clown clowns stupid dumb ugly hate hateful "
+    "idiot idiots moron morons scum trash loser losers worthless pathetic disgusting clown clowns stupid dumb ugly hateful "
     "fool fools jerk jerks liar liars vermin filth filthy garbage imbecile cretin dimwit bigot creep creeps freak freaks "
-    "crap damn shut kill die hell bastard bastards bitch asshole shit fuck fucking bullshit retard retarded pervert "
+    "crap damn bastard bastards bitch asshole shit fuck fucking bullshit retard retarded pervert "
     "dummkopf arschloch idioten abschaum widerlich wertlos erbärmlich dreck müll verlierer hass blöd blöde "
-    "crétin ordure minable dégoûtant nul perdant salaud connard merde haine débile "
+    "crétin ordure minable dégoûtant perdant salaud connard merde haine débile "
     "idiota imbécil basura perdedor patético asqueroso inútil escoria payaso mierda odio estúpido tonto"
 ).split()
 SECOND_PERSON = "you your yours yourself yourselves u ur youre du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo vosotros usted ustedes".split()
@@ -47,7 +50,7 @@ _MARK[[33, 63]] = True
 _CLASSES = [_UPPER, _LETTER, _DIGIT, _PUNCT, _MARK, ~IS_SPACE_WORD]
 
 FEATURES = [
-    "log_words", "insults", "insult_share", "insult_kinds", "densest_insults", "learned", "learned_share", "densest_learned", "learned_weight", "learned_weight_share",
+    "log_words", "insults", "insult_share", "insult_kinds", "densest_insults", "learned", "learned_share", "densest_learned", "learned_weight", "stems", "stem_share", "densest_stems", "stem_weight",
     "near_second_person", "second_person_share", "hidden", "hidden_share", "upper_share", "capital_words", "punctuation_share", "mark_share", "digit_share", "mixed_words", "repeated_letters", "mean_word", "bytes_a_word",
 ]
 
@@ -86,7 +89,21 @@ def _densest(at: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def features(texts: list[str], insults: Lexicon, persons: Lexicon, learned: Lexicon) -> np.ndarray:
+def stems(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words' beginnings of :data:`STEMS` bytes (of longer words only), and of the words they begin."""
+    low = buf + ((buf >= 65) & (buf <= 90)).astype(np.uint8) * np.uint8(32)
+    values, owners = [], []
+    for k in STEMS:
+        at = np.flatnonzero(e - s > k)
+        v = np.full(len(at), k, dtype=np.uint64) << np.uint64(56)
+        for i in range(k):
+            v |= low[s[at] + i].astype(np.uint64) << np.uint64(8 * i)
+        values.append(mix(v))
+        owners.append(at)
+    return np.concatenate(values), np.concatenate(owners)
+
+
+def features(texts: list[str], insults: Lexicon, persons: Lexicon, learned: Lexicon, beginnings: Lexicon) -> np.ndarray:
     """A row of :data:`FEATURES` for each whole text."""
     n = len(texts)
     raw = [x.encode("utf-8", "surrogatepass") for x in texts]
@@ -122,7 +139,12 @@ def features(texts: list[str], insults: Lexicon, persons: Lexicon, learned: Lexi
     lhits, lweight = np.bincount(lt, minlength=n), np.bincount(lt, lw, minlength=n)
     pa_, _ = persons.find(h)
     person = np.bincount(owner[pa_], minlength=n)
-    both = np.unique(np.r_[at, la[lw > 0]])
+    sv, so = stems(buf, s, e)
+    sat, sw = beginnings.find(sv)
+    sa, first = np.unique(so[sat], return_index=True)  # a word counts once
+    sw, st = sw[first], owner[sa]
+    shits, sweight = np.bincount(st, minlength=n), np.bincount(st, sw, minlength=n)
+    both = np.unique(np.r_[at, la, sa])
     near = np.zeros(n)
     if len(pa_) and len(both):
         bt = owner[both]
@@ -143,7 +165,7 @@ def features(texts: list[str], insults: Lexicon, persons: Lexicon, learned: Lexi
     w = np.maximum(1, words)
     solid1 = np.maximum(1, solid)
     return np.c_[
-        np.log1p(words), hits, hits / w, kinds, _densest(at, it, n), lhits, lhits / w, _densest(la, lt, n), lweight, lweight / w,
+        np.log1p(words), hits, hits / w, kinds, _densest(at, it, n), lhits, lhits / w, _densest(la, lt, n), lweight, shits, shits / w, _densest(sa, st, n), sweight,
         near, person / w, hidden, hidden / w, upper / np.maximum(1, letter), capital / w, punct / solid1, mark / solid1, digit / solid1, mixed / w, repeated / np.maximum(1, letter), letter / w, solid / w,
     ]
 
@@ -158,43 +180,65 @@ def chunks(texts: list[str]) -> Iterator[list[str]]:
 
 
 class Model:
-    def __init__(self, learned: Lexicon) -> None:
-        self.insults, self.persons, self.learned = Lexicon(_hash(INSULTS)), Lexicon(_hash(SECOND_PERSON)), learned
+    def __init__(self, learned: Lexicon, beginnings: Lexicon) -> None:
+        self.insults, self.persons = Lexicon(_hash(INSULTS)), Lexicon(_hash(SECOND_PERSON))
+        self.learned, self.beginnings = learned, beginnings
         self.trees, self.scale = Boosted(), Isotonic()
 
     def features(self, texts: list[str]) -> np.ndarray:
-        parts = [features(x, self.insults, self.persons, self.learned) for x in chunks(texts)]
+        parts = [features(x, self.insults, self.persons, self.learned, self.beginnings) for x in chunks(texts)]
         return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
 
     def score(self, texts: list[str]) -> np.ndarray:
         return np.clip(self.scale.apply(self.trees.raw(self.features(texts))), 0.0, 1.0)
 
 
-def _learn_words(rows: DataFrame) -> Lexicon:
-    """Words that stand in many more of the toxic texts than of the others (weight: log-odds), and the reverse.
+def _distinct(rows: DataFrame) -> DataFrame:
+    """``rows`` (y, text) with most copies and near copies left out: of the texts of a label that share
+    their smallest hashed run of three words, one stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = []
+            for x in b.column(1).to_pylist():
+                s = window_hashes(word_hashes((x or "").encode("utf-8", "surrogatepass"), IS_ALNUM_WORD)[0], 3)
+                keys.append(int(s.min() >> np.uint64(1)) if len(s) else -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), b.column(1)], names=["y", "key", "text"])
+
+    return rows.mapInArrow(run, "y int, key bigint, text string").groupBy("y", "key").agg(F.min("text").alias("text")).select("y", "text")
+
+
+def _learn_words(rows: DataFrame) -> tuple[Lexicon, Lexicon]:
+    """Words, and beginnings of words, that stand in many more of the toxic texts than of the others (weight: log-odds).
 
-    Document frequencies are counted by words' hashes in parts and summed by Spark; the driver gets the
-    ``LEARNED`` strongest.
+    Document frequencies are counted by hashes in parts and summed by Spark; the driver gets the ``LEARNED`` strongest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, ys = [], []
+            found: list[list[np.ndarray]] = [[], []]
+            ys: list[list[np.ndarray]] = [[], []]
             for y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = np.unique(word_hashes((x or "").encode("utf-8", "surrogatepass"), IS_ALNUM_WORD)[0])
-                hs.append(h)
-                ys.append(np.full(len(h), y))
-            h, y = (np.concatenate(v) if v else np.empty(0) for v in (hs, ys))
-            u, k = np.unique(h, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64) if len(u) else [], pa.int64()), pa.array(np.bincount(k, y, len(u)).astype(np.int64)), pa.array(np.bincount(k, 1 - y, len(u)).astype(np.int64))], names=["word", "toxic", "clean"])
-
+                data = (x or "").encode("utf-8", "surrogatepass")
+                h, s, e = word_hashes(data, IS_ALNUM_WORD)
+                for kind, v in enumerate((h, stems(np.frombuffer(data, np.uint8), s, e)[0])):
+                    v = np.unique(v)
+                    found[kind].append(v)
+                    ys[kind].append(np.full(len(v), y))
+            for kind in (0, 1):
+                h, y = (np.concatenate(v) if v else np.empty(0, k) for v, k in ((found[kind], np.uint64), (ys[kind], np.int64)))
+                u, k = np.unique(h, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind), pa.int32()), pa.array(u.view(np.int64)), pa.array(np.bincount(k, y, len(u)).astype(np.int64)), pa.array(np.bincount(k, 1 - y, len(u)).astype(np.int64))], names=["kind", "word", "toxic", "clean"])
+
+    rows = written(_distinct(rows), "distinct")
     t, c = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     odds = F.log((F.col("toxic") + 0.5) / (t - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (c - F.col("clean") + 0.5))
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    df = rows.mapInArrow(run, "word bigint, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    df = df.where((F.col("toxic") + F.col("clean") >= LEAST_DOCS)).withColumns({"odds": odds, "z": odds / spread}).where("abs(z) >= 4")
-    got = df.orderBy(F.desc(F.abs("z")), "word").limit(LEARNED).collect()
-    return Lexicon(np.array([r.word for r in got], dtype=np.int64).view(np.uint64), np.array([r.odds for r in got]))
+    df = rows.mapInArrow(run, "kind int, word bigint, toxic bigint, clean bigint").groupBy("kind", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    df = df.where(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).withColumn("sure", F.col("odds") - SURE * spread).where(F.col("sure") >= LEAST_ODDS)
+    got = df.orderBy(F.desc("sure"), "kind", "word").limit(LEARNED).collect()
+    words, beginnings = (Lexicon(np.array([r.word for r in got if r.kind == k], dtype=np.int64).view(np.uint64), np.array([r.odds for r in got if r.kind == k])) for k in (0, 1))
+    return words, beginnings
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -211,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
     if n > train_docs:
         y, x = (d.where(spot < int((1 << 30) * train_docs / n)) for d in (y, x))
     rows = written(x.join(y, "id").select("y", "text", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(5)).alias("fold")), "labelled")
-    model = Model(_learn_words(rows.where("fold > 0").select("y", "text")))
+    model = Model(*_learn_words(rows.where("fold > 0").select("y", "text")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,3 +292,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(s >= 0.5).cast(pa.int32())], names=["id", "score", "predicted"])
 
     return out.mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores less than ``limit``. No row leaves its partition."""
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value.score([t or "" for t in b.column(at).to_pylist()]) < limit, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

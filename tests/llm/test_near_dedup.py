@@ -62,6 +62,13 @@ def test_matches_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_five_words_and_four_fifths(spark):
+    rows = corpus(3, 40, 8, 2, 150)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, N.near_duplicates(df, words=5, percent=80).collect())) == brute(rows, 5, 80)
+    assert (N.agreeing(85), N.agreeing(80)) == (40, 36)
+
+
 def test_large_groups_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "LEAF", 4)
     monkeypatch.setattr(N, "BLOCK_DOCS", 6)

@@ -37,6 +37,17 @@ def test_held_out(spark, model):
     assert len(model.learned.hashes) > 0  # 'grobnak' was learned
 
 
+def test_inflected_words_are_known_by_their_beginning(spark):
+    rng = np.random.default_rng(4)
+    ends = ["".join(rng.choice(list("abcdefgh"), 3)) for _ in range(400)]
+    docs = [(i, " ".join([*rng.choice(WORDS, 30), *(f"grobn{rng.choice(ends)}" for _ in range(3 * (i % 4 == 0)))])) for i in range(600)]
+    m = T.train(spark.createDataFrame(docs[:400], "doc_id bigint, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, toxic int"))
+    rest = spark.createDataFrame([(i, t, "x") for i, t in docs[400:]], "doc_id bigint, text string, toxic string")
+    assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in T.score(rest, m).collect()]) > 0.97
+    kept = T.keep_clean(rest, m)
+    assert kept.columns == rest.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in T.score(rest, m).collect() if not r.predicted}
+
+
 def test_odd_rows(spark, model):
     rows = [(1, None), (2, ""), (None, "idiot"), (4, "idiot " * 40_000), (4, "\n\n"), (5, "ünïcödé 🙂")]
     got = T.score(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()
@@ -51,7 +62,7 @@ def test_no_labels(spark):
 
 def test_features():
     empty = T.Lexicon(np.empty(0, np.uint64))
-    m = T.Model(empty)
+    m = T.Model(empty, empty)
     texts = ["You are an IDIOT, moron!", "1d1ot and m.o.r.o.n\nsc*um", "nothing here", "", "a\nb\n\nidiot"]
     f = dict(zip(T.FEATURES, m.features(texts).T, strict=True))
     assert f["insults"].tolist() == [2, 0, 0, 0, 1]
@@ -63,7 +74,7 @@ def test_features():
 
 
 def test_features_do_not_depend_on_neighbours(monkeypatch):
-    m = T.Model(T.Lexicon(np.empty(0, np.uint64)))
+    m = T.Model(T.Lexicon(np.empty(0, np.uint64)), T.Lexicon(np.empty(0, np.uint64)))
     texts = [t for _, t in corpus(50)[0]] + ["", "x\ny", "\n"]
     whole = m.features(texts)
     monkeypatch.setattr(T, "CHUNK", 64)
