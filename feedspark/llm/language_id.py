@@ -23,7 +23,7 @@ TRIGRAMS, WORDS = 1 << 16, 1 << 16
 #: Most that one word says for or against a language.
 WORD_LIMIT = 12.0
 #: Characters that are scored at a time.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 17
 
 #: First code points of runs of a script (0: other or none).
 _SCRIPTS = [

@@ -8,7 +8,7 @@ _P = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
 _INV = pow(_P, -1, 1 << 64)
 #: Bytes that are hashed at a time; bounds the memory of one pass whatever the text lengths.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:

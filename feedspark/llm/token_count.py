@@ -26,7 +26,7 @@ MEMO_CHARS = 64
 #: Characters below this one are split here; a text with others goes to the library whole.
 FAST_BELOW = 0x250
 #: Characters that go through the library in one call.
-CALL_CHARS = 1 << 20
+CALL_CHARS = 1 << 18
 
 
 def _one_of(kinds: str, extra: str = "") -> str:

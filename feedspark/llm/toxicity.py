@@ -23,7 +23,7 @@ STEMS = (4, 5, 6)
 #: Words within which a second-person word is near an insult, and the width of the densest stretch.
 NEAR, STRETCH = 4, 40
 #: Bytes of text that are turned into features at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 18
 
 INSULTS = (
     "idiot idiots moron morons scum trash loser losers worthless pathetic disgusting clown clowns stupid dumb ugly hateful "
