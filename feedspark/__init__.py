@@ -1,0 +1 @@
+"""feedspark: ingest, validate and query transit-feed archives and trip documents with Spark."""
