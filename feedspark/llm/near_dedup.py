@@ -304,8 +304,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
     least = classes.join(nodes.select("node", "least"), "node")
     least = least.groupBy("label").agg(F.min("least").alias("component"))
     of_node = classes.join(least, "label").select("node", "component")
-    own = nodes.select("node", "least").join(of_node, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-    # Hot nodes (thousands of equal texts) are on the left of a join that Spark can split.
+    own = written(nodes.select("node", "least").join(of_node, "node", "left").select("node", F.coalesce("component", "least").alias("component")), "own")
+    # Hot nodes (thousands of equal texts) are on the left of a join of two plain exchanges, which Spark can split.
     out = sig.select("id", "n", "node").join(own, "node", "left")
     component = F.when(F.col("node").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
