@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.shared import prepare, written
+from feedspark.llm.shared import prepare, tidy, written
 from feedspark.llm.shingles import IS_ALNUM_WORD, word_hashes
 
 #: Words of benchmark items that are matched in one pass; a larger benchmark is taken in several.
 PASS_WORDS = 300_000
 #: A segment is closed at so many words or documents.
-SEGMENT_WORDS = 1_000_000
+SEGMENT_WORDS = 400_000
 SEGMENT_DOCS = 4096
 _SEGMENT = "segment string, doc_ids array<{id}>, lengths binary, terms binary, counts binary, positions binary"
 
@@ -123,7 +123,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, id_col: str =
         if ids:
             yield out()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SEGMENT.format(id=kind.simpleString()))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), _SEGMENT.format(id=kind.simpleString()))
 
 
 class Segment:
@@ -255,7 +255,7 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
                     place = pa.array(range(len(seg.ids)), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(seg.ids)), place, pa.array(seg.ids, b.schema.field(1).type.value_type), pa.array(seg.lengths, pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=["segment", "place", "id", "n_words", "spans", "items"])
 
-        part = index.mapInArrow(run, f"segment string, place bigint, id {kind}, n_words bigint, spans array<bigint>, items array<string>")
+        part = index.mapInArrow(tidy(run), f"segment string, place bigint, id {kind}, n_words bigint, spans array<bigint>, items array<string>")
         out = part if out is None else out.unionByName(part)
         group = following
     if several:
@@ -282,5 +282,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
             cols = list(zip(*rows, strict=True)) or [()] * len(_OUT)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, (_, k) in zip(cols, _OUT, strict=True))], names=["id", *(n for n, _ in _OUT)])
 
-    out = m.mapInArrow(run, f"id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    out = m.mapInArrow(tidy(run), f"id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
     return out.withColumnRenamed("id", id_col)

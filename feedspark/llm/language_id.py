@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.shared import prepare, small, written
+from feedspark.llm.shared import prepare, small, tidy, written
 from feedspark.llm.shingles import mix
 
 #: Labelled documents that the model learns from, about; chosen by a hash of their ids.
@@ -201,7 +201,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, text_col: str = "text",
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int64()), pa.array(v[at], pa.float64())], names=["lang", "bucket", "n"])
 
-    got = rows.select("lang", "text").mapInArrow(run, "lang string, bucket bigint, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.select("lang", "text").mapInArrow(tidy(run), "lang string, bucket bigint, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(got["lang"]))
     table = np.zeros((len(langs), TRIGRAMS + WORDS + len(SCRIPTS) + 1))
     if langs:
@@ -232,7 +232,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, id_col: str
                 names=["id", "lang_pred", "score", "spans"],
             )
 
-    return out.mapInArrow(run, f"id {kind}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>").withColumnRenamed("id", id_col)
+    return out.mapInArrow(tidy(run), f"id {kind}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>").withColumnRenamed("id", id_col)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.25, switch: float = SWITCH, text_col: str = "text") -> DataFrame:
@@ -246,4 +246,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.25, switch:
             found = label(shared.value, [t or "" for t in b.column(at).to_pylist()], switch)
             yield b.filter(pa.array([x[0] != "und" and x[1] >= least for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedspark.llm.components import components
-from feedspark.llm.shared import prepare, small, written
+from feedspark.llm.shared import prepare, small, tidy, written
 from feedspark.llm.shingles import mix, shingle_set
 
 #: Independent trees; branches of a node at the two levels before the first comparison, and
@@ -35,13 +35,13 @@ LEAF = 64
 #: less 4.7 standard deviations: 40 of 64 at 0.85, 36 at 0.8.
 SKETCH, DEVIATIONS = 64, 4.7
 #: Bounds of a block of full sets.
-BLOCK_DOCS, BLOCK_BYTES = 256, 16 << 20
+BLOCK_DOCS, BLOCK_BYTES = 256, 4 << 20
 #: Expected members of a component that stand in each of its blocks.
 PIVOTS = 12
 #: Rows up to which ids of proposed documents are broadcast; beyond, texts are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Cells of a block's member-by-shingle matrix at a time.
-CELLS = 4 << 20
+CELLS = 1 << 20
 
 _PATHS = TREES * BRANCHES**FIRST
 _TOKENS = TREES * BRANCHES * FIRST + _PATHS * (LEVELS - FIRST)
@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                 sketches.append((mix(best) & np.uint64(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sketches, pa.binary())], names=["id", "n", "node", "tokens", "sketch"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n bigint, node binary, tokens array<int>, sketch binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, n bigint, node binary, tokens array<int>, sketch binary")
 
 
 def _paths(level: int) -> list[tuple[Column, Column]]:
@@ -159,7 +159,7 @@ def proposals(nodes: DataFrame, percent: int) -> DataFrame:
         met = written(rows.join(small(counts, BROADCAST_IDS), "key"), "met")
         leaves = met.where(F.col("size") <= LEAF).select("key", "node").join(nodes.select("node", "sketch"), "node")
         leaves = leaves.groupBy("key").agg(F.collect_list(F.struct("node", "sketch")).alias("members")).select("members")
-        found = leaves.mapInArrow(_compare_leaves(agreeing(percent)), _EDGE)
+        found = leaves.mapInArrow(tidy(_compare_leaves(agreeing(percent))), _EDGE)
         edges = found if edges is None else edges.unionByName(found)
         big = met.where(F.col("size") > LEAF)
         if level == LEVELS:
@@ -232,7 +232,7 @@ def _compare_blocks(percent: int):
 def _in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among the ``members`` (block, node, side) of each block."""
     rows = sets.join(small(members, BROADCAST_IDS), "node").select("block", "node", "set", "side")
-    return rows.repartition("block").sortWithinPartitions("block", "side", "node").mapInArrow(_compare_blocks(percent), _EDGE)
+    return rows.repartition("block").sortWithinPartitions("block", "side", "node").mapInArrow(tidy(_compare_blocks(percent)), _EDGE)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
             found = [s for s in found if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "set"])
 
-    sets = written(texts.mapInArrow(full, "node binary, set binary").join(small(proposed.select("node"), BROADCAST_IDS), "node", "left_semi"), "sets")
+    sets = written(texts.mapInArrow(tidy(full), "node binary, set binary").join(small(proposed.select("node"), BROADCAST_IDS), "node", "left_semi"), "sets")
 
     size = proposed.groupBy("label").agg(F.count(F.lit(1)).alias("members"), (8 * F.sum("n")).alias("bytes"))
     size = size.select("label", F.greatest(F.ceil(F.col("members") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("bigint").alias("blocks"), "members")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedspark.llm.shared import prepare, written
+from feedspark.llm.shared import prepare, tidy, written
 
 TREES = 32
 #: Vectors and bytes of a shard, about.
@@ -152,7 +152,7 @@ def build_index(vs: DataFrame) -> DataFrame:
             yield out()
 
     dealt = vs.select("dim", F.pmod(F.xxhash64("id"), "shards").alias("shard"), "id", "v")
-    return dealt.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "id").mapInArrow(run, _INDEX)
+    return dealt.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "id").mapInArrow(tidy(run), _INDEX)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +185,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     shards = vs.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select("dim", F.ceil(F.col("n") / rows).cast("bigint").alias("shards"))
     vs = vs.join(F.broadcast(shards), "dim")  # a row for each length of vector
     index = written(build_index(vs), "forest")
-    queries = vs.where(is_query(F.col("id"))).select("dim", "shards", "id", "v").mapInArrow(_blocks, "dim int, shards bigint, ids binary, vectors binary")
+    queries = vs.where(is_query(F.col("id"))).select("dim", "shards", "id", "v").mapInArrow(tidy(_blocks), "dim int, shards bigint, ids binary, vectors binary")
     queries = queries.select("dim", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("kind"), "ids", "vectors", F.lit(None).cast("double").alias("scale"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("places"))
     meet = index.withColumn("kind", F.lit(0)).select(*queries.columns).unionByName(queries)
 
@@ -205,7 +205,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
                     names=["query_id", "vec_id", "score"],
                 )
 
-    hits = meet.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    hits = meet.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind").mapInArrow(tidy(run), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of a batch that goes to Python at once.
 BATCH_ROWS = 512
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+#: Rows that Spark decodes at once from Parquet; rows hold whole texts.
+READ_ROWS = 512
 
 _SHIPPED: set[str] = set()
 
@@ -27,6 +32,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bounded batches for Python, and this package on every executor."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         _SHIPPED.add(app)
@@ -40,6 +46,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker gives memory that it no longer needs back to the system: workers outlive their tasks."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return bounded
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; one of its own only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.shared import prepare
+from feedspark.llm.shared import prepare, tidy
 
 #: Pre-tokens of which a worker remembers the token count; the memo is emptied beyond that.
 MEMO = 400_000
@@ -162,4 +162,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
                 names=["id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return out.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_col)
+    return out.mapInArrow(tidy(run), f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_col)

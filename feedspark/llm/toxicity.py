@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedspark.llm.boosting import Boosted, Isotonic
-from feedspark.llm.shared import prepare, written
+from feedspark.llm.shared import prepare, tidy, written
 from feedspark.llm.shingles import IS_ALNUM_WORD, IS_SPACE_WORD, mix, window_hashes, word_hashes
 
 #: Labelled texts that the model learns from, about; chosen by a hash of their ids.
@@ -205,7 +205,7 @@ def _distinct(rows: DataFrame) -> DataFrame:
                 keys.append(int(s.min() >> np.uint64(1)) if len(s) else -1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), b.column(1)], names=["y", "key", "text"])
 
-    return rows.mapInArrow(run, "y int, key bigint, text string").groupBy("y", "key").agg(F.min("text").alias("text")).select("y", "text")
+    return rows.mapInArrow(tidy(run), "y int, key bigint, text string").groupBy("y", "key").agg(F.min("text").alias("text")).select("y", "text")
 
 
 def _learn_words(rows: DataFrame) -> tuple[Lexicon, Lexicon]:
@@ -234,7 +234,7 @@ def _learn_words(rows: DataFrame) -> tuple[Lexicon, Lexicon]:
     t, c = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     odds = F.log((F.col("toxic") + 0.5) / (t - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (c - F.col("clean") + 0.5))
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    df = rows.mapInArrow(run, "kind int, word bigint, toxic bigint, clean bigint").groupBy("kind", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    df = rows.mapInArrow(tidy(run), "kind int, word bigint, toxic bigint, clean bigint").groupBy("kind", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     df = df.where(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).withColumn("sure", F.col("odds") - SURE * spread).where(F.col("sure") >= LEAST_ODDS)
     got = df.orderBy(F.desc("sure"), "kind", "word").limit(LEARNED).collect()
     words, beginnings = (Lexicon(np.array([r.word for r in got if r.kind == k], dtype=np.int64).view(np.uint64), np.array([r.odds for r in got if r.kind == k])) for k in (0, 1))
@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
             f = shared.value.features([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(f), pa.list_(pa.float64()))], names=["y", "fold", "x"])
 
-    got = rows.mapInArrow(run, "y int, fold bigint, x array<double>").collect()
+    got = rows.mapInArrow(tidy(run), "y int, fold bigint, x array<double>").collect()
     got.sort(key=lambda r: (r.fold, r.y, r.x))
     fold, label = np.array([r.fold for r in got]), np.array([r.y for r in got], dtype=float)
     matrix = np.array([r.x for r in got]).reshape(len(got), len(FEATURES))
@@ -291,7 +291,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = shared.value.score([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(s >= 0.5).cast(pa.int32())], names=["id", "score", "predicted"])
 
-    return out.mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return out.mapInArrow(tidy(run), f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -303,4 +303,4 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str
         for b in batches:
             yield b.filter(pa.array(shared.value.score([t or "" for t in b.column(at).to_pylist()]) < limit, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

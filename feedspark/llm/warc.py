@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.shared import prepare, written
+from feedspark.llm.shared import prepare, tidy, written
 
 #: Magic of the skippable frame that holds the dictionary.
 DICT_MAGIC = 0x184D2A5D
@@ -238,7 +238,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if w.records:
             yield out()
 
-    return joined.mapInArrow(run, "archive string, records bigint, content binary")
+    return joined.mapInArrow(tidy(run), "archive string, records bigint, content binary")
 
 
 def read_archives(archives: DataFrame, content_col: str = "content", payload: bool = True) -> DataFrame:
@@ -271,7 +271,7 @@ def read_archives(archives: DataFrame, content_col: str = "content", payload: bo
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     schema = "record_type string, page_id string, url string, payload_digest string, http_length bigint, refers_to string, byte_offset bigint, byte_length bigint, payload binary"
-    return archives.select(F.col(content_col).alias("content")).mapInArrow(run, schema)
+    return archives.select(F.col(content_col).alias("content")).mapInArrow(tidy(run), schema)
 
 
 def roundtrip(pages: DataFrame) -> DataFrame:
