@@ -81,17 +81,23 @@ def rebased(millis: Column, zone: Column) -> Column:
     """(instant, local, tz): the clock that :data:`INDEX_ZONE` shows at ``millis``, read as the clock of ``zone``.
 
     ``instant`` is the UTC clock time (without a zone) of that local time. A gap moves forward and an overlap takes the
-    earlier instant; :func:`rebase_problem` tells of both.
+    earlier instant; :func:`clock_problem` tells of both.
     """
     local = convert_naive(F.lit("UTC"), F.lit(INDEX_ZONE), utc_naive(millis))
     instant = convert_naive(zone, F.lit("UTC"), local)
     return F.when(millis.isNotNull() & zone.isNotNull(), F.struct(instant.alias("instant"), local.alias("local"), zone.alias("tz")))
 
 
-def rebase_problem(millis: Column, zone: Column) -> Column:
-    """Why the rebased time isn't certain (gap, overlap); null if it is."""
-    local = convert_naive(F.lit("UTC"), F.lit(INDEX_ZONE), utc_naive(millis))
-    return F.when(is_gap(local, zone), F.lit("gap")).when(is_overlap(local, zone), F.lit("overlap"))
+def clock_problem(r: Column) -> Column:
+    """Why a rebased time isn't certain (gap, overlap); null if it is.
+
+    An overlap shows twice what a clock shows an hour or half an hour away, so the four comparisons are made only where the
+    zone's offset changes within an hour.
+    """
+    utc, hour = F.lit("UTC"), F.expr("INTERVAL 60 MINUTES")
+    quiet = convert_naive(utc, r["tz"], r["instant"] + hour) == convert_naive(utc, r["tz"], r["instant"] - hour) + F.expr("INTERVAL 120 MINUTES")
+    gap = convert_naive(utc, r["tz"], r["instant"]) != r["local"]
+    return F.when(gap, F.lit("gap")).when(~quiet & is_overlap(r["local"], r["tz"]), F.lit("overlap"))
 
 
 def zone_names() -> list[str]:

@@ -37,50 +37,59 @@ def parse_responses(df: DataFrame, column: str = "body", mode: str = "FAILFAST")
     return df.select(F.explode(body["hits"]["hits"]).alias("h")).select("h._source.*")
 
 
-def _segment_errors(s: Column, zone: Lookup) -> Column:
+def _with_zones(s: Column, zone: Lookup) -> Column:
+    """A segment with its stations' zones and its times, each looked up and converted once."""
+    dep, arr = zone(s["departure_station"]["uid"]), zone(s["arrival_station"]["uid"])
+    return F.struct(s.alias("raw"), dep.alias("dep_zone"), arr.alias("arr_zone"), S.rebased(s["departure_time"], dep).alias("dep"), S.rebased(s["arrival_time"], arr).alias("arr"))
+
+
+def _segment_errors(z: Column) -> Column:
+    s = z["raw"]
     checks = [
         (s["departure_station"]["uid"].isNull() | s["arrival_station"]["uid"].isNull(), "segment without a station"),
         (s["departure_time"].isNull() | s["arrival_time"].isNull() | (s["departure_time"] < 0) | (s["arrival_time"] < 0), "segment without a time"),
         (s["index"].isNull() | (s["index"] < 0) | s["operating_carrier"]["uid"].isNull(), "segment without index or carrier"),
         (~F.coalesce(s["vehicle"]["type"].isin(*VEHICLES), F.lit(False)), "segment of an unknown vehicle"),
-        (s["departure_station"]["uid"].isNotNull() & zone(s["departure_station"]["uid"]).isNull(), "segment from a station without a zone"),
-        (s["arrival_station"]["uid"].isNotNull() & zone(s["arrival_station"]["uid"]).isNull(), "segment to a station without a zone"),
-        (S.rebase_problem(s["departure_time"], zone(s["departure_station"]["uid"])).isNotNull(), "segment leaves at a time that is skipped or comes twice"),
-        (S.rebase_problem(s["arrival_time"], zone(s["arrival_station"]["uid"])).isNotNull(), "segment arrives at a time that is skipped or comes twice"),
+        (s["departure_station"]["uid"].isNotNull() & z["dep_zone"].isNull(), "segment from a station without a zone"),
+        (s["arrival_station"]["uid"].isNotNull() & z["arr_zone"].isNull(), "segment to a station without a zone"),
+        (S.clock_problem(z["dep"]).isNotNull(), "segment leaves at a time that is skipped or comes twice"),
+        (S.clock_problem(z["arr"]).isNotNull(), "segment arrives at a time that is skipped or comes twice"),
     ]
     return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in checks]))
 
 
 def _clean(raw: DataFrame, zone: Lookup, legacy_arrival_zone: bool) -> DataFrame:
-    dep = zone(F.col("departure_station.uid"))
-    arr = dep if legacy_arrival_zone else zone(F.col("arrival_station.uid"))
+    own, other = zone(F.col("departure_station.uid")), zone(F.col("arrival_station.uid"))
+    arr_zone = F.col("_dep_zone") if legacy_arrival_zone else F.col("_arr_zone")
+    rows = raw.withColumns({"_dep_zone": own, "_arr_zone": other, "_segments": F.transform("segments", lambda s: _with_zones(s, zone))})
+    rows = rows.withColumns({"_dep": S.rebased(F.col("departure_time"), F.col("_dep_zone")), "_arr": S.rebased(F.col("arrival_time"), arr_zone)})
     checks = [(F.col(c).isNull(), f"{c}: no value") for c in _NEEDED]
     checks += [((F.col(c) < 0), f"{c}: bad value") for c in _COUNTS]
     checks += [(F.col("total_price") > S.LIMITS["u32"], "total_price: bad value")]
-    checks += [(F.col("departure_station.uid").isNotNull() & dep.isNull(), "departure_station: no zone"), (F.col("arrival_station.uid").isNotNull() & arr.isNull(), "arrival_station: no zone")]
-    checks += [(S.rebase_problem(F.col("departure_time"), dep).isNotNull(), "departure_time: skipped or twice"), (S.rebase_problem(F.col("arrival_time"), arr).isNotNull(), "arrival_time: skipped or twice")]
+    checks += [(F.col("departure_station.uid").isNotNull() & F.col("_dep_zone").isNull(), "departure_station: no zone"), (F.col("arrival_station.uid").isNotNull() & arr_zone.isNull(), "arrival_station: no zone")]
+    checks += [(S.clock_problem(F.col("_dep")).isNotNull(), "departure_time: skipped or twice"), (S.clock_problem(F.col("_arr")).isNotNull(), "arrival_time: skipped or twice")]
     checks += [(F.exists("fares", lambda f: f["price"].isNull() | (f["price"] < 0) | (f["price"] > S.LIMITS["u32"]) | f["fare_class"]["uid"].isNull()), "fares: bad value")]
-    errors = F.concat(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in checks])), F.coalesce(F.flatten(F.transform("segments", lambda s: _segment_errors(s, zone))), F.array().cast("array<string>")))
-    segment = lambda s: F.struct(
-        S.line_id(s["line_prefix"], s["line"]).alias("line"),
-        S.rebased(s["departure_time"], zone(s["departure_station"]["uid"])).alias("departure_time"),
-        S.rebased(s["arrival_time"], zone(s["arrival_station"]["uid"])).alias("arrival_time"),
-        s["departure_station"].alias("departure_station"),
-        s["arrival_station"].alias("arrival_station"),
-        s["vehicle"].alias("vehicle"),
+    errors = F.concat(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in checks])), F.coalesce(F.flatten(F.transform("_segments", _segment_errors)), F.array().cast("array<string>")))
+    segment = lambda z: F.struct(
+        S.line_id(z["raw"]["line_prefix"], z["raw"]["line"]).alias("line"),
+        z["dep"].alias("departure_time"),
+        z["arr"].alias("arrival_time"),
+        z["raw"]["departure_station"].alias("departure_station"),
+        z["raw"]["arrival_station"].alias("arrival_station"),
+        z["raw"]["vehicle"].alias("vehicle"),
     )
     fare = lambda f: F.struct(S.money(f["price"]).alias("price"), f["fare_class"].alias("fare_class"), F.col("currency").alias("currency"))
     same = ("booked_out", "electronic_ticket_available", "departure_date", "departure_station", "arrival_station", "marketing_carrier", "departure_city", "arrival_city", "departure_area", "arrival_area")
-    return raw.select(
+    return rows.select(
         "snapshot_id",
         S.utc_naive(F.col("snapshot_timestamp")).alias("snapshot_timestamp"),
         "snapshot_uid",
-        S.rebased(F.col("departure_time"), dep).alias("departure_time"),
-        S.rebased(F.col("arrival_time"), arr).alias("arrival_time"),
+        F.col("_dep").alias("departure_time"),
+        F.col("_arr").alias("arrival_time"),
         S.money(F.col("total_price")).alias("total_price"),
         "currency",
         *same,
-        F.transform("segments", segment).alias("segments"),
+        F.transform("_segments", segment).alias("segments"),
         F.transform(S.empty_if_null(F.col("fares"), f"array<{FARE}>"), fare).alias("fares"),
         F.array_distinct(errors).alias("_errors"),
     )

@@ -359,8 +359,8 @@ def q_wallclock_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index times as the clock of each row's zone, and the instant of that clock time."""
     zone = F.element_at(F.array(*map(F.lit, _ZONES)), (F.col("user_id") % len(_ZONES) + 1).cast("int"))
     rows = table(spark, sf_dir, "events").select("event_id", zone.alias("tz"), F.expr(_MILLIS).alias("ms"))
-    out = rows.select("event_id", S.rebased(F.col("ms"), F.col("tz")).alias("r"), S.rebase_problem(F.col("ms"), F.col("tz")).alias("problem"))
-    return out.select("event_id", F.col("r.tz").alias("tz"), F.col("r.local").alias("local"), F.col("r.instant").alias("instant"), "problem")
+    out = rows.select("event_id", S.rebased(F.col("ms"), F.col("tz")).alias("r"))
+    return out.select("event_id", F.col("r.tz").alias("tz"), F.col("r.local").alias("local"), F.col("r.instant").alias("instant"), S.clock_problem(F.col("r")).alias("problem"))
 
 
 _ZONE_LIST = ", ".join(f"'{z}'" for z in _ZONES)

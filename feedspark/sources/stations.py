@@ -14,7 +14,8 @@ from feedspark.functions.scalars import is_zone, join_url
 PAYLOAD = "data array<struct<attributes:struct<code:string,time_zone:string>>>"
 #: Stations up to which the dimension becomes a constant of the plan; beyond, it is joined.
 CONSTANT_STATIONS = 50_000
-BUCKETS = 4096
+#: Stations of a small map, about.
+PER_BUCKET = 4
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
@@ -49,10 +50,11 @@ def constant_lookup(zones: DataFrame) -> Callable[[Column], Column] | None:
     if len(rows) > CONSTANT_STATIONS:
         return None
     spark = zones.sparkSession
-    codes = spark.createDataFrame([(r.code,) for r in rows], "code string").select("code", F.pmod(F.xxhash64("code"), F.lit(BUCKETS)).cast("int").alias("b")) if rows else None
-    buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+    n_buckets = max(1, len(rows) // PER_BUCKET)
+    codes = spark.createDataFrame([(r.code,) for r in rows], "code string").select("code", F.pmod(F.xxhash64("code"), F.lit(n_buckets)).cast("int").alias("b")) if rows else None
+    buckets: list[dict[str, str]] = [{} for _ in range(n_buckets)]
     of = {r.code: r.time_zone for r in rows}
     for r in codes.collect() if codes is not None else []:
         buckets[r.b][r.code] = of[r.code]
-    table = F.from_json(F.lit(json.dumps({"v": buckets})), f"struct<v:array<map<string,string>>>")["v"]
-    return lambda code: F.try_element_at(table[F.pmod(F.xxhash64(code), F.lit(BUCKETS)).cast("int")], code)
+    table = F.from_json(F.lit(json.dumps({"v": buckets})), "struct<v:array<map<string,string>>>")["v"]
+    return lambda code: F.try_element_at(table[F.pmod(F.xxhash64(code), F.lit(n_buckets)).cast("int")], code)
