@@ -1,15 +1,20 @@
 """MinHash near-dedup: a chosen-path similarity join, then exact links on full shingle sets.
 
 1. Every whole text becomes its set of hashed shingles; equal sets become one node,
-   kept with a MinHash sketch and the minwise tokens of the trees' branches.
-2. Each tree branches a node by two minwise tokens a level. Branches with one member end;
-   small ones are compared exhaustively on sketches; large ones branch on. A branch that is
-   still large at the last level joins all its members. All this proposes edges; only
-   what connects matters, so a branch yields a spanning forest.
+   kept with its minwise tokens and a sketch of them.
+2. Each tree branches a node by two minwise tokens at the root and by one or two a level
+   below. A branch with one member ends, a small one is compared exhaustively on sketches.
+   In a large branch all members are held against one of them, the pivot. Members near it are
+   proposed with it; members that nearly equal it are settled: by the triangle inequality
+   of sketches, all that they can be linked with is near the pivot too. If nobody is far
+   from the pivot the branch ends; if few are, they are compared with all that isn't settled;
+   otherwise far members and unsettled ones branch on, until all branches have ended. All this
+   proposes edges; only what connects matters, so a branch yields a spanning forest.
 3. Each component of proposals is cut into blocks bounded in members and bytes, and the
    full sets of a block are compared exhaustively. In a component of several blocks some
    members stand in every block; then what is outside its largest class is compared, in
-   blocks, with all the rest. So no link inside a component of proposals is lost.
+   blocks, with all the rest of a size that allows a link. So no link inside a component
+   of proposals is lost.
 """
 
 from __future__ import annotations
@@ -25,26 +30,32 @@ from feedspark.llm.components import components
 from feedspark.llm.shared import prepare, small, tidy, written
 from feedspark.llm.shingles import mix, shingle_set
 
-#: Independent trees; branches of a node at the two levels before the first comparison, and
-#: how many levels a large branch goes on with one token each. A pair of similarity 0.85 (0.8) misses the
-#: first comparison in all trees 7 (80) times in ten million, and the last level's 3 (50) times in 100,000.
-TREES, BRANCHES, FIRST, LEVELS = 4, 2, 2, 4
-#: Members up to which a branch is compared exhaustively.
+#: Independent trees, branches of a root, and levels before the first comparison. A pair of similarity 0.85 (0.8) meets in
+#: no branch that is compared there 2 (47) times in ten million.
+TREES, BRANCHES, FIRST = 6, 2, 2
+#: Levels at most; what is far from the pivots of large branches even then joins them.
+LEVELS = 22
+#: Members up to which a branch, or what is far from its pivot, is compared exhaustively.
 LEAF = 64
 #: Sketch: one byte of each of 64 minwise tokens. As many must agree as a pair at the limit has on average,
 #: less 4.7 standard deviations: 40 of 64 at 0.85, 36 at 0.8.
 SKETCH, DEVIATIONS = 64, 4.7
+#: Bytes in which a settled member may differ from its pivot.
+SETTLED = 8
+#: Members of a branch that meet what is far from its pivot in one task at a time.
+RIM = 1024
 #: Bounds of a block of full sets.
 BLOCK_DOCS, BLOCK_BYTES = 256, 4 << 20
 #: Expected members of a component that stand in each of its blocks.
 PIVOTS = 12
 #: Rows up to which ids of proposed documents are broadcast; beyond, texts are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Pivots of large branches, with their sketches, up to which they are broadcast.
+BROADCAST_PIVOTS = 200_000
 #: Cells of a block's member-by-shingle matrix at a time.
 CELLS = 1 << 20
 
-_PATHS = TREES * BRANCHES**FIRST
-_TOKENS = TREES * BRANCHES * FIRST + _PATHS * (LEVELS - FIRST)
+_PATHS = TREES * BRANCHES
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -79,24 +90,32 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                     continue
                 best = minwise(s)
                 nodes.append(node_of(s))
-                tokens.append((best[:_TOKENS] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                tokens.append((best >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 sketches.append((mix(best) & np.uint64(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sketches, pa.binary())], names=["id", "n", "node", "tokens", "sketch"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, n bigint, node binary, tokens array<int>, sketch binary")
 
 
-def _paths(level: int) -> list[tuple[Column, Column]]:
-    """(parent's key, key) of every branch at a level, from the first that is compared on."""
-    found = [(F.lit(t).cast("bigint"), F.lit(t).cast("bigint")) for t in range(TREES)]
-    for depth in range(FIRST):
-        found = [(key, F.xxhash64(key, F.col("tokens")[(depth * TREES + k * TREES // len(found)) * BRANCHES + b])) for k, (_, key) in enumerate(found) for b in range(BRANCHES)]
-    for depth in range(FIRST, level):
-        at = TREES * BRANCHES * FIRST + (depth - FIRST) * _PATHS
-        found = [(key, F.xxhash64(key, F.col("tokens")[at + k])) for k, (_, key) in enumerate(found)]
+def _first_branches() -> list[Column]:
+    """(path, key) of the branches that are compared first: a root's branches, each followed by one more token a level."""
+    found = []
+    for path in range(_PATHS):
+        key = F.lit(path // BRANCHES).cast("bigint")
+        for depth in range(FIRST):
+            key = F.xxhash64(key, F.col("tokens")[depth * _PATHS + path])
+        found.append(F.struct(F.lit(path).alias("path"), key.alias("key")))
     return found
 
 
+def _next_branches(depth: int) -> list[Column]:
+    """Keys one level below ``depth``: by one token, or by two at every second level. A path takes its tokens in an order of its own."""
+    used = _PATHS * FIRST
+    wide = 1 + (depth - FIRST) % 2
+    at = [F.pmod(F.col("path") * 7 + (depth - FIRST) * 2 + b, F.lit(SKETCH - used)) + used for b in range(wide)]
+    return [F.xxhash64("key", F.col("tokens")[x]) for x in at]
+
+
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of a graph on 0..n-1: (member, smallest of its component)."""
     parent = list(range(n))
@@ -146,30 +165,86 @@ def _compare_leaves(least: int):
     return run
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SKETCH)
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes in which members agree with their pivots, instead of the pivots' sketches."""
+    for b in batches:
+        agree = (_sketches(b.column("sketch")) == _sketches(b.column("pivot_sketch"))).sum(axis=1).astype(np.int32)
+        names = [n for n in b.schema.names if n != "pivot_sketch"]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(agree)], names=[*names, "agree"])
+
+
+def _compare_far(least: int):
+    """Edges between far members and all members of their part of a branch; rows (key, part, node, sketch, far) in order of parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, nodes, sketches, far = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            sk, mark = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(nodes), SKETCH), np.flatnonzero(far)
+            agree = np.stack([(sk == sk[i]).sum(axis=1) >= least for i in mark]) if len(mark) else np.zeros((0, len(nodes)), bool)
+            a, b = np.nonzero(agree)
+            return _edges([(nodes[i], nodes[j]) for i, j in spanning(len(nodes), mark[a], b)])
+
+        for batch in batches:
+            for key, part, node, sketch, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, part) != block and nodes:
+                    yield done()
+                    nodes, sketches, far = [], [], []
+                block = (key, part)
+                nodes.append(node)
+                sketches.append(sketch)
+                far.append(f)
+        if nodes:
+            yield done()
+
+    return run
+
+
 def proposals(nodes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect all nodes which meet in a tree and whose sketches agree."""
-    edges, active, parents = None, nodes, None
-    for level in range(FIRST, LEVELS + 1):
-        branch = [F.struct(p.alias("parent"), k.alias("key")) for p, k in _paths(level)]
-        rows = active.select("node", F.explode(F.array_distinct(F.array(*branch))).alias("x")).select("node", "x.parent", "x.key")
-        if parents is not None:
-            rows = rows.join(small(parents, BROADCAST_IDS), "parent", "left_semi")
-        rows = rows.select("key", "node")
-        counts = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1"), "counts")
+    least = agreeing(percent)
+    near = least - SETTLED  # what may be linked with a settled member agrees with the pivot at least so far
+    found = []
+    rows = nodes.select("node", F.explode(F.array(*_first_branches())).alias("x")).select("node", "x.path", "x.key")
+    for depth in range(FIRST, LEVELS + 1):
+        counts = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1"), "counts")
         met = written(rows.join(small(counts, BROADCAST_IDS), "key"), "met")
         leaves = met.where(F.col("size") <= LEAF).select("key", "node").join(nodes.select("node", "sketch"), "node")
         leaves = leaves.groupBy("key").agg(F.collect_list(F.struct("node", "sketch")).alias("members")).select("members")
-        found = leaves.mapInArrow(tidy(_compare_leaves(agreeing(percent))), _EDGE)
-        edges = found if edges is None else edges.unionByName(found)
-        big = met.where(F.col("size") > LEAF)
-        if level == LEVELS:
-            edges = edges.unionByName(big.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+        found.append(leaves.mapInArrow(tidy(_compare_leaves(least)), _EDGE))
+        large = counts.where(F.col("size") > LEAF)
+        if large.isEmpty():
             break
-        parents = written(counts.where(F.col("size") > LEAF).select(F.col("key").alias("parent")), "parents")
-        if not parents.take(1):
+        pivots = written(large.select("key", F.col("pivot").alias("node")).join(nodes.select("node", F.col("sketch").alias("pivot_sketch")), "node").select("key", "pivot_sketch"), "pivots")
+        big = met.where(F.col("size") > LEAF).join(nodes.select("node", "sketch"), "node").join(small(pivots, BROADCAST_PIVOTS), "key")
+        big = big.select("key", "node", "path", "size", "pivot", "sketch", "pivot_sketch")
+        judged = written(big.mapInArrow(tidy(_judge), "key bigint, node binary, path int, size bigint, pivot binary, sketch binary, agree int"), "judged")
+        found.append(judged.where((F.col("agree") >= near) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        fars = written(judged.where(F.col("agree") < near).groupBy("key").agg(F.count(F.lit(1)).alias("n_far")), "fars")
+        if fars.isEmpty():
             break
-        active = nodes.join(big.select("node").distinct(), "node", "left_semi")
-    return edges
+        unsettled = written(judged.where(F.col("agree") < SKETCH - SETTLED).join(small(fars, BROADCAST_IDS), "key"), "unsettled")
+        parts = F.ceil(F.col("size") / RIM).cast("bigint")
+        far = F.col("agree") < near
+        part = F.when(far, F.sequence(F.lit(0).cast("bigint"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), parts)))
+        few = unsettled.where(F.col("n_far") <= LEAF).select("key", F.explode(part).alias("part"), "node", "sketch", far.alias("far"))
+        found.append(few.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(tidy(_compare_far(least)), _EDGE))
+        on = unsettled.where(F.col("n_far") > LEAF)
+        if depth == LEVELS:
+            found.append(on.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+            break
+        if on.isEmpty():
+            break
+        on = on.select("key", "node", "path").join(nodes.select("node", "tokens"), "node")
+        rows = written(on.select("node", "path", F.explode(F.array(*_next_branches(depth))).alias("key")), "branches")
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    return edges.distinct()
 
 
 def links_within(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -235,6 +310,32 @@ def _in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block", "side", "node").mapInArrow(tidy(_compare_blocks(percent)), _EDGE)
 
 
+def _second_blocks(several: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Blocks (block, node, side) for the rest of large components, from their members (node, label, n) and the classes found
+    so far (node, label).
+
+    What is outside a component's largest class stands on side 1, and all members on side 0; pairs across are
+    compared. Sizes are split in steps of a little more than the threshold, and only steps that allow a link meet.
+    """
+    step = F.floor(F.log("n") / (1.001 * float(np.log(100 / percent)))).cast("bigint")
+    now = several.join(found.select("node", F.col("label").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    now = written(now.withColumn("step", step), "classes")
+    main = now.groupBy("label", "class").agg(F.count(F.lit(1)).alias("k")).groupBy("label").agg(F.max_by("class", F.struct("k", "class")).alias("main"))
+    outside = F.col("class") != F.col("main")
+    now = written(now.join(main, "label").withColumn("outside", outside), "compared")
+    sizes = now.groupBy("label", "step").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, 8 * F.sum("n") / BLOCK_BYTES)).cast("bigint").alias("parts"), F.ceil(F.greatest(F.count_if("outside") / BLOCK_DOCS, 8 * F.sum(F.when(F.col("outside"), F.col("n"))) / BLOCK_BYTES)).cast("bigint").alias("rests"))
+    sizes = written(sizes.select("label", "step", "parts", F.coalesce("rests", F.lit(0)).alias("rests")), "sizes")
+    # Each step of sizes with those of its component that it may be linked with.
+    meet = sizes.select("label", F.col("step").alias("of"), F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"), F.col("rests").alias("rests_of")).where("rests_of > 0")
+    meet = written(meet.join(sizes.select("label", "step", "parts"), ["label", "step"]).select("label", "step", "parts", "of", "rests_of"), "meet")
+    spot = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+    block = F.concat_ws("/", F.hex("label"), "step", "part", "of", "rest").alias("block")
+    pairs = small(meet, BROADCAST_IDS)
+    ones = now.where("outside").withColumnRenamed("step", "of").join(pairs, ["label", "of"]).withColumn("rest", spot(5, "rests_of")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    zeros = now.join(pairs, ["label", "step"]).withColumn("part", spot(3, "parts")).withColumn("rest", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rests_of") - 1)))
+    return ones.select(block, "node", F.lit(1).alias("side")).unionByName(zeros.select(block, "node", F.lit(0).alias("side")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The class of near-duplicates of every row.
 
@@ -271,7 +372,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
     size = size.select("label", F.greatest(F.ceil(F.col("members") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("bigint").alias("blocks"), "members")
     spot = F.xxhash64("node", F.lit(11))
     placed = written(
-        proposed.join(size, "label").select("node", "label", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("part"), (F.pmod(spot, F.lit(1 << 20)) < PIVOTS * (1 << 20) / F.col("members")).alias("pivot")),
+        proposed.join(size, "label").select("node", "label", "n", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("part"), (F.pmod(spot, F.lit(1 << 20)) < PIVOTS * (1 << 20) / F.col("members")).alias("pivot")),
         "placed",
     )
     everywhere = F.when(F.col("pivot"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array("part"))
@@ -279,26 +380,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
     first = placed.select("node", "label", "blocks", F.explode(everywhere).alias("part")).select(blocks, "node", F.lit(0).alias("side"))
     links = written(_in_blocks(written(first, "first"), sets, percent), "links")
     # In a component of one block each link already leads to the smallest of its class.
-    several = placed.where("blocks > 1").select("node", "label", "blocks", "part")
+    several = placed.where("blocks > 1").select("node", "label", "n")
     classes = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     if several.take(1):
         several = written(several, "several")
         inside = small(several.select(F.col("node").alias("a")), BROADCAST_IDS)
         classes, partial = classes.join(inside, F.col("a") == F.col("node"), "left_anti"), written(links.join(inside, "a", "left_semi"), "partial")
-        label = components(partial)
-        now = several.join(label.select("node", F.col("label").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
-        now = written(now, "classes")
-        main = now.groupBy("label", "class").agg(F.count(F.lit(1)).alias("k")).groupBy("label").agg(F.max_by("class", F.struct("k", "class")).alias("main"))
-        rests = now.join(main, "label").where(F.col("class") != F.col("main"))
-        parts = written(rests.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("bigint").alias("rests")).join(main, "label"), "rests")
-        now = written(now.join(small(parts, BROADCAST_IDS), "label"), "compared")
-        side = F.pmod(F.xxhash64("node", F.lit(5)), "rests")
-        block = F.concat_ws("/", F.hex("label"), "part", "rest")
-        # One outside the main class stands on side 1 in every part of its component, and all the members
-        # of a part stand there on side 0; pairs across are compared.
-        ones = now.where(F.col("class") != F.col("main")).withColumn("rest", side).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(block.alias("block"), "node", F.lit(1).alias("side"))
-        zeros = now.withColumn("rest", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rests") - 1))).select(block.alias("block"), "node", F.lit(0).alias("side"))
-        more = _in_blocks(written(ones.unionByName(zeros), "second"), sets, percent)
+        more = _in_blocks(written(_second_blocks(several, components(partial), percent), "second"), sets, percent)
         classes = classes.unionByName(components(partial.unionByName(more)))
     classes = written(classes.unionByName(classes.select(F.col("label").alias("node"), "label")).distinct(), "classes")
     least = classes.join(nodes.select("node", "least"), "node")

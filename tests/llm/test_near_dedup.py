@@ -77,6 +77,53 @@ def test_large_groups_of_many_blocks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_shuffled_joins_beyond_the_broadcast_bounds(spark, monkeypatch):
+    for name in ("BROADCAST_IDS", "BROADCAST_PIVOTS"):
+        monkeypatch.setattr(N, name, -1)
+    monkeypatch.setattr(components.__globals__["F"], "broadcast", lambda df: pytest.fail("a broadcast beyond its bound"))
+    monkeypatch.setitem(components.__globals__, "BROADCAST_EDGES", -1)
+    monkeypatch.setattr(N, "LEAF", 4)
+    monkeypatch.setattr(N, "BLOCK_DOCS", 6)
+    rows = corpus(5, 3, 40, 4, 80)
+    assert run(spark, rows) == brute(rows)
+
+
+def boilerplate(n, shared, own, pairs):
+    """Unlike documents that share a long opening, and copies of some with one word changed."""
+    rng = random.Random(9)
+    opening = [f"s{i}" for i in range(shared)]
+    docs = [opening + [f"d{k}x{rng.randrange(10**6)}" for _ in range(own)] for k in range(n)]
+    docs += [[*docs[k][:-1], "changed"] for k in range(pairs)]
+    return [(k, " ".join(w)) for k, w in enumerate(docs)]
+
+
+def test_unlike_documents_that_share_their_opening(spark):
+    n, pairs = 3000, 150
+    rows = boilerplate(n, 40, 60, pairs)
+    got = run(spark, rows)
+    assert [(d, c) for d, _, c, _ in got] == [(k, k if k < n else k - n) for k in range(n + pairs)]
+    sig = N.written(N.signatures(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, "doc_id", "text"), "test")
+    nodes = sig.groupBy("node").agg(*(N.F.first(c).alias(c) for c in ("n", "tokens", "sketch")))
+    edges = N.proposals(nodes, 85)
+    assert pairs <= edges.count() <= 2 * n  # of 4.9 million pairs
+
+
+def test_all_but_a_few_near_the_pivot(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 16)
+    monkeypatch.setattr(N, "RIM", 32)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(200)]
+    docs = []
+    for share in [200] * 120 + [150] * 40 + [90] * 60:  # copies, rims, and texts of which less than half is common
+        x = base[:share] + [f"r{rng.randrange(10**7)}" for _ in range(200 - share)]
+        for _ in range(rng.randrange(4)):
+            x[rng.randrange(share)] = f"c{rng.randrange(10**7)}"
+        docs.append(x)
+    docs += [[*x[:-1], "end"] for x in docs[120:220:3]]
+    rows = [(k, " ".join(x)) for k, x in enumerate(docs)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_rows_with_odd_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, None), (2, "a b c d"), (2, "a b c d"), (1, "a b c d"), (7, "x y z")], "doc_id bigint, text string")
     got = sorted(map(tuple, N.near_duplicates(df).collect()), key=str)
