@@ -14,6 +14,8 @@ FLOAT = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i)(inf|infinit
 #: Largest values of unsigned types; 64 bits are kept as a long.
 LIMITS = {"u8": 255, "u16": 65535, "u32": 4294967295, "u64": 9223372036854775807}
 INTEGERS = {"i8": "tinyint", "i16": "smallint", "i32": "int", "i64": "bigint", "u8": "smallint", "u16": "int", "u32": "bigint", "u64": "bigint"}
+#: Milliseconds since 1970 of 0001-01-02 and of 9999-12-31.
+CLOCK_MILLIS = (-62_135_510_400_000, 253_402_214_400_000)
 #: The zone in which the search index writes its clock times.
 INDEX_ZONE = "Europe/Berlin"
 
@@ -44,14 +46,20 @@ def line_id(prefix: Column, suffix: Column) -> Column:
 
 
 def money(cents: Column) -> Column:
-    """Cents as decimal(10, 2)."""
-    return (cents.cast("decimal(10,0)") / 100).cast("decimal(10,2)")
+    """Cents as decimal(10, 2); null if they don't fit."""
+    return (cents.try_cast("decimal(10,0)") / 100).try_cast("decimal(10,2)")
+
+
+def is_clock_time(millis: Column) -> Column:
+    """Whether milliseconds since 1970 are a time of the years 1 to 9999, with a day to spare for zones."""
+    return millis.between(CLOCK_MILLIS[0], CLOCK_MILLIS[1])
 
 
 def utc_naive(millis: Column) -> Column:
-    """Milliseconds since 1970 as a UTC clock time without a zone; the session's zone plays no part."""
+    """Milliseconds since 1970 as a UTC clock time without a zone; null outside the years 1 to 9999. The session's zone plays no part."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_add("MICROSECOND", millis.cast("bigint") * 1000, epoch)
+    within = F.when(is_clock_time(millis), millis.cast("bigint"))
+    return F.timestamp_add("MICROSECOND", within * 1000, epoch)
 
 
 def utc_instant(millis: Column) -> Column:
@@ -85,7 +93,7 @@ def rebased(millis: Column, zone: Column) -> Column:
     """
     local = convert_naive(F.lit("UTC"), F.lit(INDEX_ZONE), utc_naive(millis))
     instant = convert_naive(zone, F.lit("UTC"), local)
-    return F.when(millis.isNotNull() & zone.isNotNull(), F.struct(instant.alias("instant"), local.alias("local"), zone.alias("tz")))
+    return F.when(is_clock_time(millis) & zone.isNotNull(), F.struct(instant.alias("instant"), local.alias("local"), zone.alias("tz")))
 
 
 def clock_problem(r: Column) -> Column:

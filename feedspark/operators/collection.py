@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -12,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedspark.registry import TableSpec, file_name, tables
-from feedspark.sources.archive import FeedError, Staged
+from feedspark.sources.archive import FeedError, FeedStore
 from feedspark.sources.csvio import ERRORS, check_counts, read_table, spark_type, to_csv_lines, valid, write_table
 
+#: Bytes of an archive that are written at once.
+CHUNK = 1 << 20
+
 
 @dataclass
 class Feed:
@@ -42,12 +43,12 @@ def count_report(checked: dict[str, DataFrame], specs: dict[str, TableSpec]) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_feed(spark: SparkSession, staged: Staged, specs: dict[str, TableSpec] | None = None, multi_line: bool = False) -> dict[str, DataFrame]:
+def read_feed(spark: SparkSession, staged: FeedStore, specs: dict[str, TableSpec] | None = None, multi_line: bool = False) -> dict[str, DataFrame]:
     """The tables that the feed has, each with its errors column, none of them read yet."""
     return {n: read_table(spark, p, s, multi_line) for n, s in (specs or tables()).items() if (p := staged.path(n)) is not None}
 
 
-def load_feed(spark: SparkSession, staged: Staged, quarantine: bool = False, multi_line: bool = False) -> Feed:
+def load_feed(spark: SparkSession, staged: FeedStore, quarantine: bool = False, multi_line: bool = False) -> Feed:
     """All tables of a feed, checked.
 
     A required table that is missing or has a row with errors is a :class:`FeedError`; an optional one is left
@@ -87,18 +88,23 @@ def export_feed(feed: Feed, folder: str) -> None:
 
 def export_archive(spark: SparkSession, frames: dict[str, DataFrame], path: str) -> None:
     """One ZIP archive with a CSV member for each table. A ZIP is written from front to back, so rows stream through the
-    driver one partition at a time; :func:`export_feed` is the form that is written in parallel."""
-    with tempfile.TemporaryDirectory() as folder:
-        local = f"{folder}/feed.zip"
-        with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, df in frames.items():
-                with z.open(file_name(name), "w", force_zip64=True) as out:
-                    out.write((",".join(df.columns) + "\n").encode())
-                    for row in to_csv_lines(df).toLocalIterator():
-                        out.write((row.line + "\n").encode())
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        to = jvm.org.apache.hadoop.fs.Path(path)
-        to.getFileSystem(conf).copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(f"file://{local}"), to)
+    driver one partition at a time, straight to the archive's file system; :func:`export_feed` is the form that is written in parallel."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    out = jvm.java.util.zip.ZipOutputStream(to.getFileSystem(conf).create(to, True))
+    try:
+        for name, df in frames.items():
+            out.putNextEntry(jvm.java.util.zip.ZipEntry(file_name(name)))
+            some = bytearray((",".join(df.columns) + "\n").encode())
+            for row in to_csv_lines(df).toLocalIterator():
+                some += (row.line + "\n").encode()
+                if len(some) >= CHUNK:
+                    out.write(some)
+                    some = bytearray()
+            out.write(some)
+            out.closeEntry()
+    finally:
+        out.close()
 
 
 def simple_route(rows: DataFrame, agency_id: str = "agency_id", short_name: str = "short_name") -> DataFrame:

@@ -21,7 +21,7 @@ RAW = (
 ENVELOPE = f"hits struct<total:struct<value:bigint>,hits:array<struct<_source:struct<{RAW.replace(' ', ':').replace(',:', ',')}>>>>"
 VEHICLES = ("BUS", "TRAIN", "TRAM", "FERRY")
 _NEEDED = ("snapshot_id", "snapshot_timestamp", "snapshot_uid", "departure_time", "arrival_time", "total_price", "currency", "booked_out", "departure_date", "departure_station.uid", "arrival_station.uid", "marketing_carrier.uid", "departure_city", "arrival_city", "departure_area", "arrival_area", "segments")
-_COUNTS = ("total_price", "snapshot_timestamp", "departure_time", "arrival_time")
+_TIMES = ("snapshot_timestamp", "departure_time", "arrival_time")
 Lookup = Callable[[Column], Column]
 
 
@@ -37,6 +37,11 @@ def parse_responses(df: DataFrame, column: str = "body", mode: str = "FAILFAST")
     return df.select(F.explode(body["hits"]["hits"]).alias("h")).select("h._source.*")
 
 
+def total_hits(df: DataFrame, column: str = "body") -> DataFrame:
+    """(total_hits) of each search response: how many documents match it in the index, whatever the page holds."""
+    return df.select(F.from_json(column, ENVELOPE, {"mode": "PERMISSIVE"})["hits"]["total"]["value"].alias("total_hits"))
+
+
 def _with_zones(s: Column, zone: Lookup) -> Column:
     """A segment with its stations' zones and its times, each looked up and converted once."""
     dep, arr = zone(s["departure_station"]["uid"]), zone(s["arrival_station"]["uid"])
@@ -48,6 +53,7 @@ def _segment_errors(z: Column) -> Column:
     checks = [
         (s["departure_station"]["uid"].isNull() | s["arrival_station"]["uid"].isNull(), "segment without a station"),
         (s["departure_time"].isNull() | s["arrival_time"].isNull() | (s["departure_time"] < 0) | (s["arrival_time"] < 0), "segment without a time"),
+        (~S.is_clock_time(s["departure_time"]) | ~S.is_clock_time(s["arrival_time"]), "segment at a bad time"),
         (s["index"].isNull() | (s["index"] < 0) | s["operating_carrier"]["uid"].isNull(), "segment without index or carrier"),
         (~F.coalesce(s["vehicle"]["type"].isin(*VEHICLES), F.lit(False)), "segment of an unknown vehicle"),
         (s["departure_station"]["uid"].isNotNull() & z["dep_zone"].isNull(), "segment from a station without a zone"),
@@ -64,8 +70,8 @@ def _clean(raw: DataFrame, zone: Lookup, legacy_arrival_zone: bool) -> DataFrame
     rows = raw.withColumns({"_dep_zone": own, "_arr_zone": other, "_segments": F.transform("segments", lambda s: _with_zones(s, zone))})
     rows = rows.withColumns({"_dep": S.rebased(F.col("departure_time"), F.col("_dep_zone")), "_arr": S.rebased(F.col("arrival_time"), arr_zone)})
     checks = [(F.col(c).isNull(), f"{c}: no value") for c in _NEEDED]
-    checks += [((F.col(c) < 0), f"{c}: bad value") for c in _COUNTS]
-    checks += [(F.col("total_price") > S.LIMITS["u32"], "total_price: bad value")]
+    checks += [((F.col(c) < 0) | ~S.is_clock_time(F.col(c)), f"{c}: bad value") for c in _TIMES]
+    checks += [(~F.col("total_price").between(0, S.LIMITS["u32"]), "total_price: bad value")]
     checks += [(F.col("departure_station.uid").isNotNull() & F.col("_dep_zone").isNull(), "departure_station: no zone"), (F.col("arrival_station.uid").isNotNull() & arr_zone.isNull(), "arrival_station: no zone")]
     checks += [(S.clock_problem(F.col("_dep")).isNotNull(), "departure_time: skipped or twice"), (S.clock_problem(F.col("_arr")).isNotNull(), "arrival_time: skipped or twice")]
     checks += [(F.exists("fares", lambda f: f["price"].isNull() | (f["price"] < 0) | (f["price"] > S.LIMITS["u32"]) | f["fare_class"]["uid"].isNull()), "fares: bad value")]
@@ -111,7 +117,7 @@ def clean_trips(raw: DataFrame, stations: DataFrame, legacy_arrival_zone: bool =
     Money becomes decimal, line names are merged, null fares an empty array and fares get their document's currency.
     Times become (instant, local, tz): see :func:`feedspark.functions.scalars.rebased`. The arrival is rebased to the arrival
     station's zone, or to the departure station's with ``legacy_arrival_zone``. ``_errors`` lists
-    missing values, stations without a zone, unknown vehicles and times that a clock skips or shows twice. The order of
+    missing and bad values (money and times that don't fit are null), stations without a zone, unknown vehicles and times that a clock skips or shows twice. The order of
     segments is kept. The dimension is a constant of the plan while it is small enough, and joined beyond.
     """
     zones = station_zones(stations)

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedspark.functions import scalars as S
-from feedspark.operators.collection import count_report, export_archive, read_feed, simple_route
-from feedspark.operators.trips import RAW, clean_trips, parse_responses
+from feedspark.operators.collection import count_report, export_archive, load_feed, read_feed, simple_route
+from feedspark.operators.trips import RAW, clean_trips, parse_responses, total_hits
 from feedspark.registry import CODES, table_spec, tables
 from feedspark.sources import csvio, paging
-from feedspark.sources.archive import stage_archive
-from feedspark.sources.scratch import scratch
-from feedspark.sources.stations import station_zones
+from feedspark.sources.appended import AppendedTable
+from feedspark.sources.archive import FeedError, Staged, stage_archive
+from feedspark.sources.scratch import scratch, ship
+from feedspark.sources.stations import read_stations, station_zones
 from feedspark.streaming.consume import consume, marks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +142,24 @@ def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csvio.bind(raw, raw.columns, ROUTE_SIZES)
 
 
+_WIDE = ["127", "128", "-128", "-129", "32767", "32768", "65535", "65536", "2147483647", "2147483648", "-2147483649", "9223372036854775807", "9223372036854775808", "1.5", "-0", "+7", "x"]
+
+
+def q_number_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts at the limits of the other number types."""
+    text = F.element_at(F.array(*map(F.lit, _WIDE)), (F.col("o_orderkey") % len(_WIDE) + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
+    return rows.select("o_orderkey", *[S.parse_number(F.col("t"), k).cast("bigint").alias(k) for k in ("i8", "i16", "i32", "u16", "u64")], S.parse_number(F.col("t"), "f32").cast("double").alias("f32"))
+
+
+_SIGNED_IF = lambda bits: f"CASE WHEN regexp_full_match(t, '[+-]?[0-9]+') AND TRY_CAST(t AS HUGEINT) BETWEEN -{2 ** (bits - 1)} AND {2 ** (bits - 1) - 1} THEN CAST(t AS BIGINT) END AS i{bits}"
+_UNSIGNED_IF = lambda bits, limit: f"CASE WHEN regexp_full_match(t, '[+]?[0-9]+') AND TRY_CAST(t AS HUGEINT) <= {limit} THEN CAST(t AS BIGINT) END AS u{bits}"
+SQL["q_number_types"] = f"""
+WITH x AS (SELECT o_orderkey, [{", ".join(f"'{t}'" for t in _WIDE)}][o_orderkey % {len(_WIDE)} + 1] AS t FROM orders)
+SELECT o_orderkey, {", ".join(_SIGNED_IF(b) for b in (8, 16, 32))}, {_UNSIGNED_IF(16, 65535)}, {_UNSIGNED_IF(64, 2**63 - 1)}, CAST(TRY_CAST(t AS FLOAT) AS DOUBLE) AS f32 FROM x
+"""
+
+
 def q_enum_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of a domain with their labels."""
     return csvio.valid(_coded(spark, sf_dir)).select("p_partkey", F.col("p_size").alias("code"), S.code_label(F.col("p_size"), CODES["RouteType"]).alias("label"))
@@ -195,6 +215,108 @@ _FEED = [("agency", "true", "region", "0"), ("stops", "true", "supplier", "0"),
 SQL["q_zip_roundtrip"] = " UNION ALL ".join(f"SELECT '{n}' AS table_name, {req} AS required, count(*) - {bad} AS valid, {bad} AS invalid FROM {t}" for n, req, t, bad in _FEED)
 
 
+def _staged_feed(spark: SparkSession, sf_dir: str) -> Staged:
+    """The feed unpacked: a folder of CSV files for each table."""
+    at = scratch(spark, "feed")
+    for name, df in _feed_frames(spark, sf_dir).items():
+        csvio.write_table(df, f"{at}/{name}.csv")
+    return Staged(spark, {n: f"{at}/{n}.csv" for n in _feed_frames(spark, sf_dir)})
+
+
+def q_load_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed under the policy of required and optional tables: rows of each table that is there, and why the others aren't."""
+    feed = load_feed(spark, _staged_feed(spark, sf_dir))
+    rows = [(n, feed.counts.get(n), feed.problems.get(n), df is not None) for n, df in feed.tables.items()]
+    return spark.createDataFrame(rows, "table_name string, n bigint, problem string, loaded boolean")
+
+
+_THERE = {n: (t, bad) for n, _, t, bad in _FEED}
+SQL["q_load_feed"] = " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, CAST(NULL AS BIGINT) AS n, 'missing' AS problem, false AS loaded" if n not in _THERE
+    else f"SELECT '{n}' AS table_name, count(*) AS n, CAST(NULL AS VARCHAR) AS problem, true AS loaded FROM {_THERE[n][0]}" if _THERE[n][1] == "0"
+    else f"SELECT '{n}' AS table_name, NULL AS n, {_THERE[n][1]} || ' of ' || count(*) || ' rows have errors' AS problem, false AS loaded FROM {_THERE[n][0]}"
+    for n in tables()
+)
+
+
+def q_feed_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of a feed without a required table, of one with bad rows in a required table, and of the latter with its bad rows left out."""
+    staged = _staged_feed(spark, sf_dir)
+    at = scratch(spark, "levels")
+    bad = table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") > 1, F.lit("a")).otherwise(F.lit("")).alias("agency_id"), F.lit("A").alias("agency_name"), F.lit("u").alias("agency_url"), F.lit("UTC").alias("agency_timezone"))
+    csvio.write_table(bad, at)
+    cases = {"complete": (staged.paths, False), "no trips": ({k: v for k, v in staged.paths.items() if k != "trips"}, False), "bad agency": (staged.paths | {"agency": at}, False), "quarantine": (staged.paths | {"agency": at}, True)}
+    rows = []
+    for case, (paths, quarantine) in cases.items():
+        try:
+            feed = load_feed(spark, Staged(spark, paths), quarantine)
+            rows.append((case, f"agency {feed.counts['agency']}, levels {feed.counts.get('levels')}"))
+        except FeedError as e:
+            rows.append((case, str(e)))
+    return spark.createDataFrame(rows, "case string, outcome string")
+
+
+SQL["q_feed_policy"] = """SELECT 'complete' AS "case", 'agency ' || count(*) || ', levels None' AS outcome FROM region UNION ALL SELECT 'no trips', 'required table trips: missing'
+UNION ALL SELECT 'bad agency', 'required table agency: ' || count(*) FILTER (r_regionkey <= 1) || ' of ' || count(*) || ' rows have errors' FROM region
+UNION ALL SELECT 'quarantine', 'agency ' || count(*) FILTER (r_regionkey > 1) || ', levels ' || (SELECT count(*) FILTER (p_partkey % 5 <> 0) FROM part) FROM region"""
+
+
+def q_strict_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading all rows strictly: right for good rows; bad ones fail the job, with what is wrong."""
+    bound = csvio.bind(*_orders_as_text(spark, sf_dir), ORDERS)
+    good = csvio.strict(bound.where("o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0")).agg(F.count("o_totalprice").alias("n")).first().n
+    try:
+        csvio.strict(bound.where("o_orderkey % 77 = 0")).agg(F.count("o_totalprice")).first()
+        failed = "no"
+    except Exception as e:  # noqa: BLE001  Spark's own exception
+        failed = "orders.o_totalprice: bad value; orders.o_orderpriority: no value" if "orders.o_totalprice: bad value; orders.o_orderpriority: no value" in str(e) else str(e)
+    try:
+        csvio.flat(table(spark, sf_dir, "embeddings"))
+        nested = "no"
+    except ValueError as e:
+        nested = str(e)
+    return spark.createDataFrame([(good, failed, nested)], "n bigint, failed string, nested string")
+
+
+SQL["q_strict_read"] = """SELECT count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0) AS n, 'orders.o_totalprice: bad value; orders.o_orderpriority: no value' AS failed,
+'CSV has no form for the columns embedding' AS nested FROM orders"""
+
+
+def q_repeated_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header that names a column twice: the last counts."""
+    raw = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")
+    return csvio.valid(csvio.bind(raw, ["c_custkey", "c_name", "c_name"], table_spec("customer", "c_custkey:u64! c_name:s!")))
+
+
+SQL["q_repeated_header"] = "SELECT c_custkey, c_mktsegment AS c_name FROM customer"
+
+
+def q_csv_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as lists of fields, as CSV lines, and the lines taken apart again."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')).alias("p_name"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")).alias("p_type"))
+    lines = csvio.to_csv_lines(rows, ["p_name", "p_type", "p_partkey"]).select(csvio.fields_of(F.col("line")).alias("fields"))
+    some = csvio.as_fields(rows, ["p_name", "p_type", "p_partkey"])
+    joined = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.element_at("fields", 3).cast("bigint").alias("p_partkey"), F.array_join("fields", "|").alias("fields"), F.size("fields").alias("n"))
+    return joined(some, "values").unionByName(joined(lines, "line"))
+
+
+SQL["q_csv_fields"] = """SELECT kind, p_partkey, p_name || ', "' || p_brand || '"|' || CASE WHEN p_partkey % 3 <> 0 THEN p_type ELSE '' END || '|' || p_partkey AS fields, CAST(3 AS INTEGER) AS n
+FROM part, (VALUES ('values'), ('line')) t(kind)"""
+
+
+def q_append_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows appended in two batches, numbered in the order in which they came."""
+    t = AppendedTable(spark, "name string, n bigint")
+    t.append(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("n")).orderBy(F.desc("n_nationkey")))
+    t.append(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n"), F.col("r_name").alias("name")).orderBy("r_regionkey"))
+    order = Window.partitionBy("_batch").orderBy("_row")
+    return t.rows().select("name", "n", F.col("_batch").alias("batch"), F.row_number().over(order).alias("place"))
+
+
+SQL["q_append_order"] = """SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS n, CAST(0 AS INTEGER) AS batch, CAST(row_number() OVER (ORDER BY n_nationkey DESC) AS INTEGER) AS place FROM nation
+UNION ALL SELECT r_name, CAST(r_regionkey AS BIGINT), 1, CAST(row_number() OVER (ORDER BY r_regionkey) AS INTEGER) FROM region"""
+
+
 def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with quotes, commas and line breaks written as CSV and read back; an empty text comes back as null."""
     path = scratch(spark, "documents")
@@ -253,14 +375,14 @@ def _urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_page_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paging.page(_urgent(spark, sf_dir), "o_orderkey").select("o_orderkey", "o_custkey", "o_totalprice")
+    return paging.page(_urgent(spark, sf_dir), "o_orderkey", tie=[]).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 SQL["q_page_first"] = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderkey LIMIT 100"
 
 
 def q_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paging.page(_urgent(spark, sf_dir), "o_orderkey", after=700).select("o_orderkey", "o_custkey", "o_totalprice")
+    return paging.page(_urgent(spark, sf_dir), "o_orderkey", after=700, tie=[]).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 SQL["q_page_after"] = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey > 700 ORDER BY o_orderkey LIMIT 100"
@@ -282,8 +404,73 @@ def q_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["q_drain"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'"
 
 
+def q_page_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a key that many rows share, which goes on until its last key is complete; every 50th key is null and comes first."""
+    rows = table(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 50 != 0, F.col("o_custkey")).alias("o_custkey"), "o_orderkey")
+    return paging.page(rows, "o_custkey", after=(None,))
+
+
+SQL["q_page_ties"] = """WITH x AS (SELECT CASE WHEN o_custkey % 50 <> 0 THEN o_custkey END AS o_custkey, o_orderkey FROM orders),
+y AS (SELECT * FROM x WHERE o_custkey IS NOT NULL)
+SELECT * FROM y WHERE o_custkey <= (SELECT max(o_custkey) FROM (SELECT o_custkey FROM y ORDER BY o_custkey LIMIT 100))"""
+
+
+def q_page_tie_break(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after a row of a key that many rows share."""
+    return paging.page(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", after=(7, 30), tie=["o_orderkey"])
+
+
+SQL["q_page_tie_break"] = "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey > 7 OR o_custkey = 7 AND o_orderkey > 30 ORDER BY o_custkey, o_orderkey LIMIT 100"
+
+
+def q_page_bounds_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which keys each page holds where keys repeat and some are null."""
+    return paging.page_bounds(table(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("k")), "k")
+
+
+SQL["q_page_bounds_nulls"] = """SELECT (rn - 1) // 100 AS page, CASE WHEN bool_or(k IS NULL) THEN NULL ELSE min(k) END AS first_key, max(k) AS last_key, count(*) AS n
+FROM (SELECT k, row_number() OVER (ORDER BY k NULLS FIRST) AS rn FROM (SELECT CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END AS k FROM orders)) GROUP BY 1"""
+
+
+class EventPages(paging.PagedDocuments):
+    """``paged_documents`` over the table of events instead of a service: option path; a carrier is a type of event."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "event_pages"
+
+    def fetch(self, carrier: str) -> paging.Fetch:
+        import pyarrow.parquet as pq
+
+        rows = pq.read_table(self.options["path"], columns=["event_id", "event_type", "props"], filters=[("event_type", "=", carrier)]).sort_by("event_id")
+        hits = [(f"{i:012d}", p) for i, p in zip(rows["event_id"].to_pylist(), rows["props"].to_pylist(), strict=True)]
+        keys = [k for k, _ in hits]
+
+        def one(after: str | None) -> list[tuple[str, str]]:
+            at = 0 if after is None else bisect_right(keys, after)
+            return hits[at : at + paging.PAGE_SIZE]
+
+        return one
+
+
 def q_stream_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of events consumed to its end: rows, and how often progress was told."""
+    """All pages of all carriers as a stream, each batch passed on to a sink: what the sink has got of each carrier, and how progress was told."""
+    ship(spark)
+    spark.dataSource.register(EventPages)
+    carriers = sorted(r.value for r in q_distinct_values(spark, sf_dir).collect())  # a row for each type of event
+    sink = scratch(spark, "drained")
+    stream = spark.readStream.format("event_pages").options(path=f"{sf_dir}/events.parquet", carriers=",".join(carriers), pages="25").load()
+    query, progress = consume(stream, lambda df: df.write.mode("append").parquet(sink))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = spark.read.schema("carrier string, snapshot_id string, document string").parquet(sink)
+    return got.groupBy("carrier").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("snapshot_id").alias("keys")).withColumns({"total": F.lit(progress.total).cast("bigint"), "told": F.lit(len(progress.told)).cast("bigint")})
+
+
+def q_stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of events from files consumed to its end: rows, and how often progress was told."""
     schema = table(spark, sf_dir, "events").schema
     query, progress = consume(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
     try:
@@ -294,7 +481,8 @@ def q_stream_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MARKS = "WITH RECURSIVE m(mark) AS (SELECT CAST(0 AS BIGINT) UNION ALL SELECT mark + 5 + (mark + 5) // 5 FROM m WHERE mark < 2000000000)"
-SQL["q_stream_drain"] = f"{_MARKS} SELECT count(*) AS n, (SELECT count(*) FROM m WHERE mark < (SELECT count(*) FROM events)) AS told FROM events"
+SQL["q_stream_table"] = f"{_MARKS} SELECT count(*) AS n, (SELECT count(*) FROM m WHERE mark < (SELECT count(*) FROM events)) AS told FROM events"
+SQL["q_stream_drain"] = f"{_MARKS} SELECT event_type AS carrier, count(*) AS n, count(DISTINCT event_id) AS keys, (SELECT count(*) FROM events) AS total, (SELECT count(*) FROM m WHERE mark < (SELECT count(*) FROM events)) AS told FROM events GROUP BY 1"
 
 
 def q_progress_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,6 +630,25 @@ def q_station_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["q_station_last_wins"] = f"WITH {_ENTRIES} SELECT code, time_zone FROM stations"
 
 
+def q_station_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stations service's answer, one JSON document, read from a file: valid zones, the last entry of a code."""
+    path = scratch(spark, "stations")
+    entry = F.struct("pos", F.struct("code", "time_zone").alias("attributes"))
+    one = _entries(spark, sf_dir).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["attributes"].alias("attributes"))).alias("data"))
+    one.select(F.to_json(F.struct("data"))).coalesce(1).write.text(path)
+    return station_zones(read_stations(spark, path))
+
+
+SQL["q_station_payload"] = f"WITH {_ENTRIES} SELECT code, time_zone FROM stations"
+
+
+def q_join_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(b, p, S.join_url(b, p)) for b in ("http://h", "http://h/") for p in ("a/b", "/a/b")], "base string, path string, url string")
+
+
+SQL["q_join_url"] = "SELECT base, path, 'http://h/a/b' AS url FROM (VALUES ('http://h'), ('http://h/')) b(base), (VALUES ('a/b'), ('/a/b')) p(path)"
+
+
 def q_tz_lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers with their station's zone; every 9th names a station that there isn't."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.when(F.col("s_suppkey") % 9 == 0, F.lit("bad")).otherwise(F.lit("st")), "s_nationkey").alias("code"))
@@ -510,6 +717,51 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN stations d ON d.c
 """
 
 
+def q_legacy_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals in the departure station's zone, as older documents have them."""
+    c = clean_trips(_documents(spark, sf_dir), _entries(spark, sf_dir), legacy_arrival_zone=True)
+    return c.select("snapshot_id", F.col("departure_time.tz").alias("departure_tz"), F.col("arrival_time.tz").alias("arrival_tz"), F.col("arrival_time.local").alias("arrival_local"))
+
+
+SQL["q_legacy_arrival"] = f"""
+WITH {_ENTRIES}, o AS (SELECT *, o_orderdate + INTERVAL 14 HOUR AS t FROM orders)
+SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS snapshot_id, d.time_zone AS departure_tz, d.time_zone AS arrival_tz, CASE WHEN d.time_zone IS NOT NULL THEN timezone('Europe/Berlin', timezone('UTC', t)) END AS arrival_local
+FROM o LEFT JOIN stations d ON d.code = 'st' || (o_custkey % 25)
+"""
+
+
+def q_nested_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with prices and times that don't fit: each is told of in its errors, and none stops the job."""
+    key = F.col("snapshot_id").cast("bigint")
+    raw = _documents(spark, sf_dir).withColumns({
+        "total_price": F.when(key % 5 == 0, F.col("total_price") * 1_000_000_000).otherwise(F.col("total_price")),
+        "departure_time": F.when(key % 7 == 0, F.lit(10**16)).otherwise(F.col("departure_time")),
+        "snapshot_timestamp": F.when(key % 11 == 0, F.lit(2**62)).otherwise(F.col("snapshot_timestamp")),
+        "fares": F.when(key % 3 == 0, F.transform("fares", lambda f: F.struct((f["price"] * 1_000_000_000).alias("price"), f["fare_class"].alias("fare_class")))).otherwise(F.col("fares")),
+        "segments": F.transform("segments", lambda s: F.when(key % 4 == 0, s.withField("arrival_time", F.lit(-(10**17)))).otherwise(s)),
+    })
+    bad = clean_trips(raw, _entries(spark, sf_dir)).select("snapshot_id", F.col("total_price").isNull().alias("no_price"), F.filter("_errors", lambda e: e.contains("bad value") | e.contains("without a time")).alias("e"))
+    return bad.where(F.size("e") > 0).select("snapshot_id", "no_price", F.array_join(F.array_sort("e"), ";").alias("errors"))
+
+
+SQL["q_nested_errors"] = """
+WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1),
+x AS (SELECT o_orderkey AS k, o_orderkey % 5 = 0 AS price, n IS NOT NULL AS legs FROM orders LEFT JOIN n ON l_orderkey = o_orderkey),
+y AS (SELECT lpad(CAST(k AS VARCHAR), 12, '0') AS snapshot_id, price AS no_price, concat_ws(';', CASE WHEN k % 7 = 0 THEN 'departure_time: bad value' END, CASE WHEN k % 3 = 0 AND legs THEN 'fares: bad value' END,
+  CASE WHEN k % 4 = 0 AND legs THEN 'segment without a time' END, CASE WHEN k % 11 = 0 THEN 'snapshot_timestamp: bad value' END, CASE WHEN price THEN 'total_price: bad value' END) AS errors FROM x)
+SELECT * FROM y WHERE errors <> ''
+"""
+
+
+def q_total_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each search response says there are."""
+    body = table(spark, sf_dir, "nation").select(F.to_json(F.struct(F.struct(F.struct((F.col("n_nationkey") * 7).alias("value")).alias("total")).alias("hits"))).alias("body"))
+    return total_hits(body)
+
+
+SQL["q_total_hits"] = "SELECT CAST(n_nationkey * 7 AS BIGINT) AS total_hits FROM nation"
+
+
 def q_parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search responses of up to 100 documents each, parsed and flattened."""
     docs = _documents(spark, sf_dir).select(F.floor(F.col("snapshot_id").cast("bigint") / 100).alias("page"), F.struct(F.struct("*").alias("_source")).alias("hit"))

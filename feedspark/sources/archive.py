@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import SparkSession
 
@@ -17,22 +18,34 @@ class FeedError(ValueError):
     """A feed that can't be loaded as its tables are declared."""
 
 
+def add_member(found: dict[str, str], member: str) -> str | None:
+    """Note in ``found`` (table to member) the table that a member holds, if any, and tell it; two members for one table are an error."""
+    if member.endswith("/"):
+        return None
+    name = table_of(member)
+    if name is None:
+        log.warning("unknown member %s is skipped", member)
+    elif name in found:
+        raise FeedError(f"{found[name]} and {member} both hold the table {name}")
+    else:
+        found[name] = member
+    return name
+
+
 def catalog(members: list[str]) -> dict[str, str]:
     """Table to member; unknown members are left out, two members for one table are an error."""
     found: dict[str, str] = {}
     for m in members:
-        if m.endswith("/"):
-            continue
-        name = table_of(m)
-        if name is None:
-            log.warning("unknown member %s is skipped", m)
-        elif name in found:
-            raise FeedError(f"{found[name]} and {m} both hold the table {name}")
-        else:
-            found[name] = m
+        add_member(found, m)
     return found
 
 
+class FeedStore(Protocol):
+    """Where a feed's tables are: anything that names a path (a file, or a folder of files) for each table that it has."""
+
+    def path(self, table: str) -> str | None: ...
+
+
 @dataclass
 class Staged:
     """A feed whose members are files: table to path."""
@@ -53,23 +66,21 @@ def stage_archive(spark: SparkSession, path: str, into: str | None = None) -> St
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     source = jvm.org.apache.hadoop.fs.Path(path)
     into = into or scratch(spark, "feed")
-    members: list[str] = []
+    found: dict[str, str] = {}
     zipped = jvm.java.util.zip.ZipInputStream(source.getFileSystem(conf).open(source))
     staged: dict[str, str] = {}
     try:
         while (entry := zipped.getNextEntry()) is not None:
-            name = entry.getName()
-            members.append(name)
-            found = catalog(members)
-            for table, member in found.items():
-                if member == name:
-                    staged[table] = f"{into}/{table}.csv"
-                    to = jvm.org.apache.hadoop.fs.Path(staged[table])
-                    out = to.getFileSystem(conf).create(to, True)
-                    try:
-                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(zipped, out, 1 << 16, False)
-                    finally:
-                        out.close()
+            name = add_member(found, entry.getName())
+            if name is None:
+                continue
+            staged[name] = f"{into}/{name}.csv"
+            to = jvm.org.apache.hadoop.fs.Path(staged[name])
+            out = to.getFileSystem(conf).create(to, True)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(zipped, out, 1 << 16, False)
+            finally:
+                out.close()
     finally:
         zipped.close()
     return Staged(spark, staged)

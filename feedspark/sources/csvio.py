@@ -122,3 +122,16 @@ def to_csv_lines(df: DataFrame, header: list[str] | None = None) -> DataFrame:
     """One text column ``line``: each row as a CSV line of the header's columns."""
     out = with_header(df, header)
     return out.select(csv_row([out[c] for c in out.columns]).alias("line"))
+
+
+def as_fields(df: DataFrame, header: list[str] | None = None) -> DataFrame:
+    """One column ``fields``: each row as the array of its values as text, in the header's order; null is an empty text."""
+    out = with_header(df, header)
+    return out.select(F.array(*[F.coalesce(out[c], F.lit("")) for c in out.columns]).alias("fields"))
+
+
+def fields_of(line: Column) -> Column:
+    """The fields of one CSV line as an array of texts, quotes undone; a null line has none."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    inner = lambda f: F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(found, lambda f: F.when(f.rlike(r'^"(?s:.*)"$'), inner(f)).otherwise(f))

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of its own only where that is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='feedspark_')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -31,3 +36,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/feedspark_{name}_{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """This package on every executor, once for each application: Python workers import it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="feedspark_ship_"), "feedspark_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(path)

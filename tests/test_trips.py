@@ -75,6 +75,29 @@ def test_errors(spark, constant):
     assert set(got["h"]._errors) == {"segments: no value", "fares: bad value"}
 
 
+def test_values_that_do_not_fit_are_quarantined(spark):
+    docs = [
+        document(snapshot_id="a", total_price=10**11),
+        document(snapshot_id="b", departure_time=10**16, arrival_time=-(10**17)),
+        document(snapshot_id="c", snapshot_timestamp=2**62),
+        document(snapshot_id="d", fares=[{"price": 2**62, "fare_class": {"uid": "f"}}]),
+        document(snapshot_id="e", segments=[segment(departure_time=10**16), segment()]),
+        document(snapshot_id="f"),
+    ]
+    got = {r.snapshot_id: r for r in clean(spark, docs)}
+    assert {k: r._errors for k, r in got.items()} == {
+        "a": ["total_price: bad value"], "b": ["departure_time: bad value", "arrival_time: bad value"], "c": ["snapshot_timestamp: bad value"],
+        "d": ["fares: bad value"], "e": ["segment at a bad time"], "f": [],
+    }
+    assert got["a"].total_price is None and got["b"].departure_time is None and got["c"].snapshot_timestamp is None and got["d"].fares[0].price is None
+    assert got["e"].segments[0].departure_time is None and got["e"].segments[1].departure_time is not None
+
+
+def test_total_hits(spark):
+    body = ['{"hits": {"total": {"value": 250}, "hits": []}}', '{"hits": {"hits": []}}', "{", None]
+    assert [r.total_hits for r in T.total_hits(spark.createDataFrame([(b,) for b in body], "body string")).collect()] == [250, None, None, None]
+
+
 def test_bad_response_fails(spark):
     df = spark.createDataFrame([('{"hits": {"hits": [{"_source": {"snapshot_id": "a", "total_price": "x"}}]',)], "body string")
     with pytest.raises(Exception, match="(?i)malformed"):
