@@ -62,13 +62,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: a row for each copy of a document that it takes.
 
     Columns of documents, and copy (from 1), copies, size, source_size, target (the source's) and
-    taken (words of this row). Documents of which no copy is taken, and those without words, go.
+    taken (words of this row); of these names the mix's own column counts, and the documents' is left out. Documents of
+    which no copy is taken, and those without words, go.
     """
+    docs_columns = [c for c in docs.columns if c.lower() not in ("copy", "copies", "size", "source_size", "target", "taken")]
     plan = mixing.plan(written(mixing.sized(docs), "sized"))
-    rows = docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns], *[c.alias(n) for n, c in mixing.measures().items()])
+    rows = docs.select(*[F.col(c).alias(f"d_{c}") for c in docs_columns], *[c.alias(n) for n, c in mixing.measures().items()])
     mixed = mixing.apply(rows, plan).where("copies > 0 AND size > 0")
     mixed = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return mixed.select(*[F.col(f"d_{c}").alias(c) for c in docs.columns], "copy", "copies", "size", "source_size", "target", F.col("size").alias("taken"))
+    return mixed.select(*[F.col(f"d_{c}").alias(c) for c in docs_columns], "copy", "copies", "size", "source_size", "target", F.col("size").alias("taken"))
 
 
 STAGES = [
