@@ -2,47 +2,35 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedspark.sources.scratch import scratch, ship
+
 #: Rows and bytes of a batch that goes to Python at once.
 BATCH_ROWS = 512
 BATCH_BYTES = 2 << 20
 #: Rows that Spark decodes at once from Parquet; rows hold whole texts.
 READ_ROWS = 512
 
-_SHIPPED: set[str] = set()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounded batches for Python, and this package on every executor."""
+    """Bounded batches for Python, and this package on every executor.
+
+    The settings stay: frames are lazy, and their batches must be bounded when they are read, too.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        _SHIPPED.add(app)
-        root = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="feedspark_ship_")
-        path = os.path.join(folder, "feedspark_package.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        spark.sparkContext.addPyFile(path)
+    ship(spark)
     return spark
 
 
@@ -60,31 +48,11 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return bounded
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of its own only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='feedspark_shared_')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table through Hadoop's file system."""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended
-        pass
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a parquet table in the shared folder: lineage is cut, and lost executors lose nothing of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/feedspark_{name}_{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
