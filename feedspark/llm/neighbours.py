@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
 Vectors are dealt by a hash of their id into shards bounded in rows and bytes. A shard has a
-forest: for each tree the 64-character hash strings of its vectors as a sorted array of
-integers, and the vectors' places in that order. A query descends in all trees of a shard to
-its longest matching prefixes, then ascends in all trees at once, one character at a time, until
-enough candidates stand under the prefixes. Candidates are scored exactly; the best of all
-shards are ranked. The index holds every vector; queries meet it in blocks.
+forest: for each tree the hash strings of its vectors as a sorted array of integers, and the vectors'
+places in that order. A character of a string says along which of up to 64 random orthogonal
+directions a vector lies most, and on which side. A query descends in all trees of a shard to
+its longest matching prefixes, then ascends in all trees, one bit at a time, until enough
+candidates stand under the prefixes; in the last step only as many trees ascend as are needed. How many
+are enough grows less than the shard (see :data:`ENOUGH`). Candidates are scored exactly; the best
+of all shards are ranked. The index holds every vector; queries meet it in blocks.
 """
 
 from __future__ import annotations
@@ -19,93 +21,133 @@ from pyspark.sql import functions as F
 
 from feedspark.llm.shared import prepare, tidy, written
 
-TREES = 32
+TREES = 64
 #: Vectors and bytes of a shard, about.
-SHARD_ROWS, SHARD_BYTES = 6000, 16 << 20
-#: The ascent ends once so many candidates, repeats counted, stand under the prefixes: a share of the shard and a number.
-ENOUGH_SHARE, ENOUGH = 0.75, 1000
-#: Queries that travel together.
-BLOCK = 256
-BITS = 64
+SHARD_ROWS, SHARD_BYTES = 32_768, 16 << 20
+#: The ascent ends once ENOUGH * rows ** POWER candidates of the shard, repeats counted, stand under the prefixes.
+ENOUGH, POWER = 8.0, 0.7
+#: Queries that travel together, and tasks at most that share the queries of a shard.
+BLOCK, GROUPS = 256, 8
+#: Directions of a character, at most, and bits of a string, at least.
+WIDTH, LEAST_BITS = 64, 21
+
+
+def shape(dim: int) -> tuple[int, int, int]:
+    """(characters of a string, directions of a character, bits of a character) for vectors of a length."""
+    bits = min(WIDTH, dim + 1).bit_length() - 1
+    return -(-LEAST_BITS // (bits + 1)), 1 << bits, bits + 1
 
 
 def directions(dim: int) -> np.ndarray:
-    """Random directions of all trees (tree by dim + 1 by bit), orthogonal in runs of dim + 1."""
+    """Random directions of all trees (tree by dim + 1 by direction); those of one character are orthogonal."""
     rng = np.random.default_rng(dim)
-    out = np.empty((TREES, dim + 1, BITS))
+    many, width, _ = shape(dim)
+    out = np.empty((TREES, dim + 1, many * width), dtype=np.float32)
     for t in range(TREES):
-        runs = [np.linalg.qr(rng.normal(size=(dim + 1, dim + 1)))[0] for _ in range(-(-BITS // (dim + 1)))]
-        out[t] = np.concatenate(runs, axis=1)[:, :BITS]
+        out[t] = np.concatenate([np.linalg.qr(rng.normal(size=(dim + 1, width)))[0] for _ in range(many)], axis=1)
     return out
 
 
-def codes(x: np.ndarray, ways: np.ndarray) -> np.ndarray:
+def codes(x: np.ndarray, ways: np.ndarray, dim: int) -> np.ndarray:
     """Hash strings (tree by row) as integers, first character highest."""
-    weights = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
-    out = np.empty((len(ways), len(x)), dtype=np.uint64)
+    many, width, bits = shape(dim)
+    x = x.astype(np.float32)
+    out = np.zeros((len(ways), len(x)), dtype=np.uint64)
+    step = max(1, (1 << 20) // width)
     for t, w in enumerate(ways):
-        out[t] = ((x @ w > 0) * weights).sum(axis=1, dtype=np.uint64)
+        for at in range(0, len(x), step):
+            part, rows = out[t, at : at + step], np.arange(len(x[at : at + step]))
+            for k in range(many):
+                along = x[at : at + step] @ w[:, k * width : (k + 1) * width]
+                most = np.abs(along).argmax(axis=1)
+                part[:] = (part << np.uint64(bits)) | (most.astype(np.uint64) << np.uint64(1)) | (along[rows, most] > 0)
     return out
 
 
 class Forest:
-    """Sorted hash strings of the vectors of one shard."""
+    """Sorted hash strings of the different vectors of one shard.
+
+    ``x`` has each vector once; the ids of equal vectors, ascending, are ``ids[starts[i] : starts[i + 1]]``, so that
+    however many copies a vector has, they take the room of one among the candidates.
+    """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, scale: float, sorted_codes: np.ndarray, order: np.ndarray) -> None:
-        self.ids, self.x, self.scale, self.sorted, self.order = ids, x, scale, sorted_codes, order
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, x: np.ndarray, sorted_codes: np.ndarray, order: np.ndarray) -> None:
+        self.ids, self.starts, self.x, self.sorted, self.order = ids, starts, x, sorted_codes, order
         self.ways = directions(x.shape[1])
+        many, _, bits = shape(x.shape[1])
+        self.bits = many * bits
 
     @classmethod
     def build(cls, ids: np.ndarray, x: np.ndarray) -> Forest:
         """Vectors get one more component that makes them of one length, so that the nearest direction is the largest product."""
-        norm = np.sqrt((x * x).sum(axis=1))
+        dim = x.shape[1]
+        _, first, which = np.unique(np.ascontiguousarray(x).view(f"V{8 * dim}")[:, 0], return_index=True, return_inverse=True)
+        by = np.lexsort((ids, which))
+        ids, starts, x = ids[by], np.r_[0, np.cumsum(np.bincount(which))], x[first]
+        most = float(np.abs(x).max())
+        y = x / most  # squares of components near the limit of doubles stay finite
+        norm = np.sqrt((y * y).sum(axis=1))
         scale = float(norm.max())
         rest = np.sqrt(np.maximum(0.0, 1 - (norm / scale) ** 2))
-        c = codes(np.c_[x / scale, rest], directions(x.shape[1]))
+        c = codes(np.c_[y / scale, rest], directions(dim), dim)
         order = np.argsort(c, axis=1, kind="stable").astype(np.int32)
-        return cls(ids, x, scale, np.take_along_axis(c, order.astype(np.int64), axis=1), order)
+        return cls(ids, starts, x, np.take_along_axis(c, order.astype(np.int64), axis=1), order)
 
     def ranges(self, q: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where strings that share the first ``level`` characters with a query begin and end (tree by query)."""
-        below = np.where(level == 0, ~np.uint64(0), (np.uint64(1) << (BITS - np.maximum(level, 1)).astype(np.uint64)) - np.uint64(1))
+        """Where strings that share their first ``level`` bits with a query begin and end (all tree by query)."""
+        below = (np.uint64(1) << (self.bits - level).astype(np.uint64)) - np.uint64(1)
         lo, hi = np.empty(q.shape, np.int64), np.empty(q.shape, np.int64)
         for t, s in enumerate(self.sorted):
-            lo[t] = np.searchsorted(s, q[t] & ~below)
-            hi[t] = np.searchsorted(s, q[t] | below, "right")
+            lo[t] = np.searchsorted(s, q[t] & ~below[t])
+            hi[t] = np.searchsorted(s, q[t] | below[t], "right")
         return lo, hi
 
-    def candidates(self, queries: np.ndarray) -> Iterator[np.ndarray]:
-        """Places of each query's candidates."""
-        n = len(self.ids)
-        length = np.maximum(np.sqrt((queries * queries).sum(axis=1, keepdims=True)), 1e-300)
-        q = codes(np.c_[queries / length, np.zeros(len(queries))], self.ways)
-        wanted = ENOUGH_SHARE * n + ENOUGH
+    def levels(self, q: np.ndarray) -> np.ndarray:
+        """To which prefixes a query ascends in each tree (tree by query)."""
+        wanted = min(len(self.x) * TREES, ENOUGH * len(self.x) ** POWER)
+        count = lambda level: np.subtract(*self.ranges(q, np.broadcast_to(level, q.shape))[::-1])
         # The deepest level at which all trees together hold enough; counts only shrink with depth.
-        low, high = np.zeros(len(queries), np.int64), np.full(len(queries), BITS, np.int64)
+        low, high = np.zeros(q.shape[1], np.int64), np.full(q.shape[1], self.bits, np.int64)
         while (low < high).any():
             mid = (low + high + 1) // 2
-            lo, hi = self.ranges(q, mid)
-            ok = (hi - lo).sum(axis=0) >= wanted
+            ok = count(mid).sum(axis=0) >= wanted
             low, high = np.where(ok, mid, low), np.where(ok, high, mid - 1)
-        lo, hi = self.ranges(q, low)
+        deeper = np.minimum(low + 1, self.bits)
+        here, below = count(low), count(deeper)
+        held = below.sum(axis=0) + np.cumsum(here - below, axis=0)
+        before = np.vstack([below.sum(axis=0), held[:-1]])
+        return np.where(before < wanted, low, deeper)
+
+    def candidates(self, queries: np.ndarray, least: int) -> Iterator[np.ndarray]:
+        """Places of each query's candidates; all places where fewer than ``least`` are found."""
+        longest = np.maximum(np.abs(queries).max(axis=1, keepdims=True), 1e-300)
+        unit = queries / longest
+        unit /= np.maximum(np.sqrt((unit * unit).sum(axis=1, keepdims=True)), 1e-300)
+        q = codes(np.c_[unit, np.zeros(len(queries))], self.ways, queries.shape[1])
+        lo, hi = self.ranges(q, self.levels(q))
         for i in range(len(queries)):
-            seen = np.zeros(n, dtype=bool)
+            seen = np.zeros(len(self.x), dtype=bool)
             for t in range(TREES):
                 seen[self.order[t, lo[t, i] : hi[t, i]]] = True
-            yield np.flatnonzero(seen)
+            found = np.flatnonzero(seen)
+            yield found if len(found) >= least else np.arange(len(self.x))
 
     def search(self, qids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query's id, ids, scores) of its best k in this shard, largest product first, ties to smaller ids."""
-        for qid, q, c in zip(qids.tolist(), queries, self.candidates(queries), strict=True):
-            c = c[self.ids[c] != qid]
-            rough = self.x[c] @ q
-            if len(c) > k:
-                edge = np.partition(rough, len(c) - k)[len(c) - k]
-                c = c[rough >= edge - 1e-9 * max(1.0, abs(edge))]
-            # Row by row, so that equal vectors get equal scores.
-            s = (self.x[c] * q).sum(axis=1)
-            best = np.lexsort((self.ids[c], -s))[:k]
-            yield qid, self.ids[c][best], s[best]
+        for qid, q, c in zip(qids.tolist(), queries, self.candidates(queries, k + 1), strict=True):
+            with np.errstate(over="ignore", invalid="ignore"):
+                rough = self.x[c] @ q
+                if len(c) > k + 1 and np.isfinite(rough).all():  # one of the best may be the query itself
+                    edge = np.partition(rough, len(c) - k - 1)[len(c) - k - 1]
+                    c = c[rough >= edge - 1e-9 * max(1.0, abs(edge))]
+                # Row by row, so that equal vectors get equal scores.
+                s = (self.x[c] * q).sum(axis=1)
+            many = np.minimum(self.starts[c + 1] - self.starts[c], k + 1)
+            at = np.repeat(self.starts[c], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            ids, s = self.ids[at], np.repeat(s, many)
+            ids, s = ids[ids != qid], s[ids != qid]
+            best = np.lexsort((ids, np.where(np.isnan(s), np.inf, -s)))[:k]
+            yield qid, ids[best], s[best]
 
 
 def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -119,8 +161,7 @@ def _vectors_of(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-_INDEX = "dim int, shard bigint, ids binary, vectors binary, scale double, codes binary, places binary"
-_ROW = "dim int, shard bigint, kind int, ids binary, vectors binary, scale double, codes binary, places binary"
+_INDEX = "dim int, shard bigint, ids binary, starts binary, vectors binary, codes binary, places binary"
 
 
 def build_index(vs: DataFrame) -> DataFrame:
@@ -131,9 +172,9 @@ def build_index(vs: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             f = Forest.build(np.concatenate(ids), np.concatenate(xs))
-            row = [key[0], key[1], f.ids.tobytes(), f.x.tobytes(), f.scale, f.sorted.tobytes(), f.order.tobytes()]
-            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["dim", "shard", "ids", "vectors", "scale", "codes", "places"])
+            row = [key[0], key[1], f.ids.tobytes(), f.starts.astype(np.int64).tobytes(), f.x.tobytes(), f.sorted.tobytes(), f.order.tobytes()]
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["dim", "shard", "ids", "starts", "vectors", "codes", "places"])
 
         for b in batches:
             dims, shards, bids = (b.column(k).to_numpy() for k in range(3))
@@ -156,16 +197,16 @@ def build_index(vs: DataFrame) -> DataFrame:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Queries (dim, shards, id, v) of a batch as blocks of one dimension."""
+    """Queries (dim, shards, groups, id, v) of a batch as blocks of one dimension."""
     for b in batches:
         dims = b.column(0).to_numpy()
         for dim in np.unique(dims).tolist():
             where = np.flatnonzero(dims == dim)
             for at in range(0, len(where), BLOCK):
                 part = b.take(pa.array(where[at : at + BLOCK]))
-                row = [dim, part.column(1)[0].as_py(), part.column(2).to_numpy().astype(np.int64).tobytes(), _vectors_of(part.column(3), dim).tobytes()]
-                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["dim", "shards", "ids", "vectors"])
+                row = [dim, part.column(1)[0].as_py(), part.column(2)[0].as_py(), part.column(3).to_numpy().astype(np.int64).tobytes(), _vectors_of(part.column(4), dim).tobytes()]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["dim", "shards", "groups", "ids", "vectors"])
 
 
 def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -175,29 +216,33 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     vec_id and score, ties to the smaller id; fewer rows where there are fewer candidates.
     Null and zero vectors, and those with null or non-finite components, take no part, as
     queries or as candidates, and rows with a null id neither; rows that share an id
-    count once; vectors meet only those of their own length. No row gives no rows.
+    count once; vectors meet only those of their own length. Where products overflow, those that aren't numbers
+    come last. No row gives no rows.
     """
     spark = prepare(df.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     vs = vectors(df, id_col, vector_col).withColumn("dim", F.size("v"))
     vs = written(vs, "vectors")
     rows = F.least(F.lit(SHARD_ROWS), F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim")))))
-    shards = vs.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select("dim", F.ceil(F.col("n") / rows).cast("bigint").alias("shards"))
+    groups = F.greatest(F.lit(1), F.least(F.lit(GROUPS), F.ceil(F.count_if(is_query(F.col("id"))) / (4 * BLOCK))))
+    shards = vs.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), groups.cast("bigint").alias("groups")).select("dim", "groups", F.ceil(F.col("n") / rows).cast("bigint").alias("shards"))
     vs = vs.join(F.broadcast(shards), "dim")  # a row for each length of vector
     index = written(build_index(vs), "forest")
-    queries = vs.where(is_query(F.col("id"))).select("dim", "shards", "id", "v").mapInArrow(tidy(_blocks), "dim int, shards bigint, ids binary, vectors binary")
-    queries = queries.select("dim", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("kind"), "ids", "vectors", F.lit(None).cast("double").alias("scale"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("places"))
-    meet = index.withColumn("kind", F.lit(0)).select(*queries.columns).unionByName(queries)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    queries = vs.where(is_query(F.col("id"))).select("dim", "shards", "groups", "id", "v").mapInArrow(tidy(_blocks), "dim int, shards bigint, groups bigint, ids binary, vectors binary")
+    none = [F.lit(None).cast("binary").alias(c) for c in ("starts", "codes", "places")]
+    queries = queries.select("dim", upto("shards").alias("shard"), F.pmod(F.xxhash64("ids"), "groups").alias("group"), F.lit(1).alias("kind"), "ids", "vectors", *none)
+    meet = index.join(F.broadcast(shards.select("dim", "groups")), "dim").withColumn("group", upto("groups")).withColumn("kind", F.lit(0)).select(*queries.columns).unionByName(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = None
         for b in batches:
             for i in range(b.num_rows):
-                dim, _, kind, ids, xs, scale, sorted_codes, places = (c[i].as_py() for c in b.columns)
+                dim, _, _, kind, ids, xs, starts, sorted_codes, places = (c[i].as_py() for c in b.columns)
                 ids = np.frombuffer(ids, np.int64)
-                xs = np.frombuffer(xs, np.float64).reshape(len(ids), dim)
+                xs = np.frombuffer(xs, np.float64).reshape(-1, dim)
                 if kind == 0:
-                    forest = Forest(ids, xs, scale, np.frombuffer(sorted_codes, np.uint64).reshape(TREES, -1), np.frombuffer(places, np.int32).reshape(TREES, -1))
+                    forest = Forest(ids, np.frombuffer(starts, np.int64), xs, np.frombuffer(sorted_codes, np.uint64).reshape(TREES, -1), np.frombuffer(places, np.int32).reshape(TREES, -1))
                     continue
                 found = list(forest.search(ids, xs, k))
                 yield pa.RecordBatch.from_arrays(
@@ -205,7 +250,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
                     names=["query_id", "vec_id", "score"],
                 )
 
-    hits = meet.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind").mapInArrow(tidy(run), "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    hits = meet.repartition("dim", "shard", "group").sortWithinPartitions("dim", "shard", "group", "kind").mapInArrow(tidy(run), "query_id bigint, vec_id bigint, score double")
+    order = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -33,7 +33,7 @@ def search(spark, rows, k=20, step=20):
 @pytest.mark.parametrize("unit", [True, False])
 def test_recall_over_shards(spark, monkeypatch, unit):
     monkeypatch.setattr(N, "SHARD_ROWS", 700)
-    monkeypatch.setattr(N, "ENOUGH", 100)
+    monkeypatch.setattr(N, "BLOCK", 8)  # the queries of a shard are shared by several tasks
     rng = np.random.default_rng(4)
     x = rng.normal(size=(2500, 24))
     x = x / np.linalg.norm(x, axis=1, keepdims=True) if unit else x * rng.uniform(0.2, 3, (2500, 1))
@@ -63,9 +63,52 @@ def test_prefix_ranges():
     rng = np.random.default_rng(1)
     f = N.Forest.build(np.arange(300), rng.normal(size=(300, 8)))
     q = f.sorted[:, :5].copy()
-    for level in (0, 1, 5, 64):
-        lo, hi = f.ranges(q, np.full(5, level))
+    for level in (0, 1, 5, f.bits):
+        lo, hi = f.ranges(q, np.full(q.shape, level))
         for t in range(N.TREES):
             for i in range(5):
-                want = np.flatnonzero((f.sorted[t] >> np.uint64(64 - level)) == (q[t, i] >> np.uint64(64 - level))) if level else np.arange(300)
+                shift = np.uint64(f.bits - level)
+                want = np.flatnonzero((f.sorted[t] >> shift) == (q[t, i] >> shift))
                 assert (lo[t, i], hi[t, i]) == (want[0], want[-1] + 1)
+
+
+def test_ascent_ends_with_just_enough():
+    rng = np.random.default_rng(2)
+    f = N.Forest.build(np.arange(4000), rng.normal(size=(4000, 16)))
+    q = N.codes(np.c_[rng.normal(size=(6, 16)), np.zeros(6)], f.ways, 16)
+    level = f.levels(q)
+    assert (level.max(axis=0) - level.min(axis=0) <= 1).all()
+    held = np.subtract(*f.ranges(q, level)[::-1])
+    wanted = N.ENOUGH * 4000**N.POWER
+    assert (held.sum(axis=0) >= wanted).all()
+    last = np.argmax(level == level.max(axis=0), axis=0) - 1  # the last tree that ascended
+    some = last >= 0
+    deeper = np.subtract(*f.ranges(q, level + 1)[::-1])
+    assert (held.sum(axis=0) - (held - deeper)[last, np.arange(6)] < wanted)[some].all()
+
+
+def test_candidates_grow_less_than_the_shard():
+    many = []
+    for n in (2000, 16_000):
+        x = np.random.default_rng(3).normal(size=(n, 64))
+        f = N.Forest.build(np.arange(n), x / np.linalg.norm(x, axis=1, keepdims=True))
+        found = list(f.candidates(f.x[:40], 21))
+        near = np.argsort(-(f.x[:40] @ f.x.T), axis=1)[:, :21]
+        assert np.mean([np.isin(near[i], found[i]).mean() for i in range(40)]) >= 0.9
+        many.append(np.mean([len(c) for c in found]))
+    assert many[1] < 5.5 * many[0]
+
+
+def test_copies_take_the_room_of_one(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 12)).astype(np.float32).tolist()
+    rows = [(i, v, "") for i, v in enumerate(x)] + [(i, x[0], "") for i in range(900, 2400)]
+    got, want = search(spark, rows, step=100), brute(rows, 20, 100)
+    assert [i for i, _ in got[0]] == [i for i, _ in want[0]] == list(range(900, 920))
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_products_that_overflow(spark):
+    rows = [(0, [1e308, -1e308]), (1, [1e308, 1e308]), (2, [1e308, 0.0]), (3, [-1e308, 0.0]), (4, [1.0, 1.0])]
+    got = {r.vec_id: r["rank"] for r in N.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), lambda i: i == 0).collect()}
+    assert got == {2: 1, 4: 2, 3: 3, 1: 4}  # infinite, 0, minus infinite, no number
