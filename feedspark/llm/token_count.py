@@ -3,6 +3,8 @@
 Vocabulary strings that encode alone as one token are proven once with the
 tokenizer itself. Pre-tokens found among them count as one; the merges run only
 on the rest, once for each different pre-token that a worker holds in its bounded memo.
+Texts of all scripts are split here: for each character it is proven, too, that the tokenizer
+takes it for the letter, number, space or other character that our pattern takes it for.
 """
 
 from __future__ import annotations
@@ -11,9 +13,11 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +27,7 @@ from feedspark.llm.shared import prepare, tidy
 MEMO = 400_000
 #: Longer pre-tokens are not remembered.
 MEMO_CHARS = 64
-#: Characters below this one are split here; a text with others goes to the library whole.
+#: Texts of characters below this one are split by a pattern that spells them out, which is faster.
 FAST_BELOW = 0x250
 #: Characters that go through the library in one call.
 CALL_CHARS = 1 << 18
@@ -42,6 +46,55 @@ def fast_pattern() -> re.Pattern:
     )
 
 
+def full_pattern() -> regex.Pattern:
+    """The byte-level pre-token pattern for all characters."""
+    return regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+
+
+def _ranges(points: list[int]) -> str:
+    """A character class's inside for ascending code points."""
+    out, at = [], 0
+    while at < len(points):
+        end = at
+        while end + 1 < len(points) and points[end + 1] == points[end] + 1:
+            end += 1
+        out.append(f"\\U{points[at]:08x}-\\U{points[end]:08x}")
+        at = end + 1
+    return "".join(out)
+
+
+@lru_cache(maxsize=4)
+def odd_characters(text: str) -> str:
+    """Characters from :data:`FAST_BELOW` on that the tokenizer may take for another kind than our pattern does, as the inside
+    of a character class: those of unknown, private or surrogate code points, and all that a probe shows.
+
+    Between two letters a letter makes one pre-token, between two digits a number does, between two marks anything
+    else but a space.
+    """
+    pre = load(text).pre_tokenizer
+    if pre is None:
+        return _ranges(list(range(FAST_BELOW, 0x110000)))
+    split, ours = pre.pre_tokenize_str, {k: regex.compile(rf"\p{{{k}}}") for k in ("L", "N", "White_Space")}
+    kinds = {c: unicodedata.category(chr(c)) for c in range(FAST_BELOW, 0x110000)}
+    known = [c for c, k in kinds.items() if k not in ("Cn", "Co", "Cs")]
+    odd = [c for c, k in kinds.items() if k in ("Cn", "Co", "Cs")]
+    one: dict[str, set[int]] = {}
+    for kind, side in (("L", "a"), ("N", "1"), ("other", "!")):
+        one[kind] = set()
+        for at in range(0, len(known), 4096):
+            part = known[at : at + 4096]
+            # Probes stand apart by line ends; one is whole if a piece spans its three characters.
+            for _, (lo, hi) in split("\n".join(f"{side}{chr(c)}{side}" for c in part)):
+                if hi - lo == 3 and lo % 4 == 0:
+                    one[kind].add(part[lo // 4])
+    for c in known:
+        x = chr(c)
+        kind = next((k for k, p in ours.items() if p.match(x)), "other")
+        if {k for k, v in one.items() if c in v} != ({kind} - {"White_Space"}):
+            odd.append(c)
+    return _ranges(sorted(odd))
+
+
 def load(text: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
@@ -63,7 +116,7 @@ def prove_single(text: str) -> list[str]:
 class Counter:
     """Counts the tokens of texts as the library does, for a byte-level BPE file without normaliser."""
 
-    def __init__(self, text: str, single: list[str]) -> None:
+    def __init__(self, text: str, single: list[str], odd: str | None = None) -> None:
         import json
 
         spec = json.loads(text)
@@ -72,7 +125,8 @@ class Counter:
         plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         added = spec.get("added_tokens") or []
         plain = plain and not any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added)
-        self.pattern = fast_pattern() if plain else None
+        self.pattern, self.full = (fast_pattern(), full_pattern()) if plain else (None, None)
+        self.odd = regex.compile(f"[{odd_characters(text) if odd is None else odd}]") if plain else None
         self.added = [a["content"] for a in added]
         self.split = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.rare = re.compile(f"[^\\x00-{chr(FAST_BELOW - 1)}]")
@@ -104,15 +158,17 @@ class Counter:
 
     def group(self, texts: list[str]) -> list[int]:
         out = [0] * len(texts)
-        whole = [i for i, x in enumerate(texts) if not x.isascii() and self.rare.search(x)]
+        wide = [i for i, x in enumerate(texts) if not x.isascii() and self.rare.search(x)]
+        whole = [i for i in wide if self.odd.search(texts[i])]
         for i, n in zip(whole, self.merged([texts[i] for i in whole]), strict=True):
             out[i] = n
-        skip = set(whole)
-        find, split = self.pattern.findall, self.split
+        skip, wide = set(whole), set(wide)
+        split = self.split
         found: list[tuple[int, list[str]]] = []
         for i, x in enumerate(texts):
             if i in skip or not x:
                 continue
+            find = (self.full if i in wide else self.pattern).findall
             if split is not None and split.search(x):
                 parts = split.split(x)
                 out[i] += len(parts) - 1
@@ -146,7 +202,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     spark = prepare(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read()
-    shared = spark.sparkContext.broadcast((text, prove_single(text)))
+    shared = spark.sparkContext.broadcast((text, prove_single(text), odd_characters(text)))
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = out.schema["id"].dataType.simpleString()
 

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import unicodedata
+
 import public_tokenizers
 import pytest
 
@@ -26,6 +29,20 @@ def test_counts_equal_the_library(text, monkeypatch):
     assert T.Counter(text, T.prove_single(text)).count(x) == want
 
 
+def test_all_scripts_take_the_shortcut(text):
+    rng = random.Random(1)
+    known = [chr(c) for c in range(T.FAST_BELOW, 0x20000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    x = [a + c + b for c in rng.sample(known, 700) for a in ("", "a", " ", "1", "!") for b in ("", "a", " ")]
+    some = [chr(c) for lo, hi in ((0x410, 0x450), (0x4E00, 0x4F00), (0x1F600, 0x1F640), (0x2010, 0x2028), (0x3041, 0x3090), (0x627, 0x64A)) for c in range(lo, hi)]
+    x += ["".join(rng.choice([*some, *([" ", "we'll"] * 90)]) for _ in range(40)) for _ in range(300)]
+    c, tok = T.Counter(text, T.prove_single(text)), T.load(text)
+    assert c.count(x) == [len(tok.encode(s, add_special_tokens=False).ids) for s in x]
+    assert not any(c.odd.search(s) for s in x)  # none went to the library whole
+    odd = ["a\u0378b", "\ue000 x", "\U000e0fff"]  # unassigned and private
+    assert all(c.odd.search(s) for s in odd)
+    assert c.count(odd) == [len(tok.encode(s, add_special_tokens=False).ids) for s in odd]
+
+
 def test_small_memo(text, monkeypatch):
     single = T.prove_single(text)
     monkeypatch.setattr(T, "MEMO", len(single) + 5)
