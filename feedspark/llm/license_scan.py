@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,6 +26,12 @@ ROUNDS, RATE, SPARSE = 400, 1.0, 2e-4
 SURE, AGREE = 0.5, 0.5
 #: A word; a version with its number is one.
 WORD = r"version [0-9]+(?:[.][0-9]+)*|[a-z0-9]+(?:[.+'-][a-z0-9]+)*"
+#: Where a paragraph ends (in lower-cased text): at a blank line, at a line's end after the end of a sentence, and before a line that
+#: opens a notice. The lines of a wrapped notice stay together.
+OPENS = r"spdx-license-identifier|licen[cs]ed under|released under|distributed under|all rights reserved|copyright|permission is hereby|redistribution and use|this (?:program|software|work|file|library|package|project|code) (?:is|may)"
+PARAGRAPH = rf"\n[ \t\r]*(?=\n)|(?<=[.!?:;])[ \t\r]*\n|\n(?=[^a-z0-9\n]*(?:{OPENS})\b)"
+#: Buckets of the weights; an n-gram is looked up in the few of its own.
+BUCKETS = 512
 #: Words that say nothing by themselves; an n-gram counts if it holds another one.
 COMMON = frozenset(
     "a an the of to in on at by for from with without and or is are was be been it its this that these those as any all not no you your he she they we their his her may can shall will which who "
@@ -153,56 +160,61 @@ def _trigrams(words: Column) -> Column:
 
 
 def _paragraphs(text: Column, anchors: Column) -> Column:
-    """Words of the lines that hold a word which some weighted n-gram needs; all others have the score of no n-gram."""
-    lines = F.split(F.lower(text), r"\n")
-    all_words = F.transform(lines, lambda p, i: F.struct(i.alias("line"), F.regexp_extract_all(p, F.lit(WORD), F.lit(0)).alias("words")))
+    """Words of the paragraphs that hold a word which some weighted n-gram needs; all others have the score of no n-gram."""
+    parts = F.filter(F.split(F.lower(text), PARAGRAPH), lambda p: F.length(F.trim(F.translate(p, "\n\r\t", "   "))) > 0)
+    all_words = F.transform(parts, lambda p, i: F.struct(i.alias("paragraph"), F.regexp_extract_all(p, F.lit(WORD), F.lit(0)).alias("words")))
     return F.filter(all_words, lambda p: F.arrays_overlap(p["words"], anchors))
 
 
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Licence notices in every whole text, line by line.
+    """Licence notices in every whole text, paragraph by paragraph.
 
-    Returns ``id_col``, n_lines (lines that aren't blank), n_notices (lines of a known family, confirmed by a
+    A paragraph ends at a blank line, at the end of a line that ends a sentence, and before a line that opens a notice
+    (:data:`PARAGRAPH`). Returns ``id_col``, n_paragraphs (with more than white space), n_notices (of a known family, confirmed by a
     template), n_unconfirmed (of a known family without an agreeing template), families (of the confirmed,
     sorted and comma-joined), best (greatest probability among the confirmed, 0 without) and notices
-    (line, family, probability, agreement, confirmed). A line is of a family if that is the likeliest
-    class and its probability at least ``SURE``; agreement is the greatest share of its
+    (paragraph, from 0, family, probability, agreement, confirmed). A paragraph is of a family if that is the likeliest
+    class and its probability at least ``SURE``; of equally likely classes the first counts. Agreement is the greatest share of its
     trigrams found in one template, or of a template's found in it. Null and empty texts have no
-    lines; one row for each input row; null and repeated ids are kept as they stand; other
+    paragraphs; one row for each input row; null and repeated ids are kept as they stand; other
     columns are ignored.
     """
     m = model or train()
     k = len(m.families)
-    weights, bias = _literal(m.weights, "map<string,array<double>>"), _literal(m.bias, "array<double>")
+    buckets: list[dict[str, list[float]]] = [{} for _ in range(BUCKETS)]
+    for g, w in m.weights.items():
+        buckets[zlib.crc32(g.encode()) % BUCKETS][g] = w
+    weights, bias = _literal(buckets, "array<map<string,array<double>>>"), _literal(m.bias, "array<double>")
+    weight = lambda g: F.try_element_at(weights[(F.crc32(g.cast("binary")) % BUCKETS).cast("int")], g)
     families, templates = _literal(m.families, "array<string>"), _literal(m.templates, "array<array<array<string>>>")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(
         F.col(id_col).alias("id"),
-        F.size(F.filter(F.split(text, r"\n"), lambda p: F.length(F.trim(p)) > 0)).cast("bigint").alias("n_lines"),
-        _paragraphs(text, _literal(m.anchors, "array<string>")).alias("lines"),
+        F.size(F.filter(F.split(F.lower(text), PARAGRAPH), lambda p: F.length(F.trim(F.translate(p, "\n\r\t", "   "))) > 0)).cast("bigint").alias("n_paragraphs"),
+        _paragraphs(text, _literal(m.anchors, "array<string>")).alias("parts"),
     )
 
     def judge(p: Column) -> Column:
-        z = F.aggregate(_grams(p["words"]), bias, lambda acc, g: F.coalesce(F.zip_with(acc, F.try_element_at(weights, g), lambda a, b: a + b), acc))
-        return F.struct(p["line"].alias("line"), p["words"].alias("words"), z.alias("z"))
+        z = F.aggregate(_grams(p["words"]), bias, lambda acc, g: F.coalesce(F.zip_with(acc, weight(g), lambda a, b: a + b), acc))
+        return F.struct(p["paragraph"].alias("paragraph"), p["words"].alias("words"), z.alias("z"))
 
     def probability(p: Column) -> Column:
         top = F.array_max(p["z"])
         total = F.aggregate(p["z"], F.lit(0.0), lambda acc, v: acc + F.exp((v - top) / m.temperature))
-        return F.struct(p["line"].alias("line"), p["words"].alias("words"), F.array_position(p["z"], top).cast("int").alias("k"), (1 / total).alias("probability"))
+        return F.struct(p["paragraph"].alias("paragraph"), p["words"].alias("words"), F.array_position(p["z"], top).cast("int").alias("k"), (1 / total).alias("probability"))
 
     def agreement(p: Column) -> Column:
         mine = _trigrams(p["words"])
         shares = F.transform(F.element_at(templates, p["k"]), lambda t: F.size(F.array_intersect(mine, t)) / F.least(F.size(mine), F.size(t)))
-        return F.struct(p["line"].alias("line"), F.element_at(families, p["k"]).alias("family"), p["probability"].alias("probability"), F.array_max(shares).alias("agreement"), (F.array_max(shares) >= AGREE).alias("confirmed"))
+        return F.struct(p["paragraph"].alias("paragraph"), F.element_at(families, p["k"]).alias("family"), p["probability"].alias("probability"), F.array_max(shares).alias("agreement"), (F.array_max(shares) >= AGREE).alias("confirmed"))
 
-    scored = base.withColumn("lines", F.transform("lines", judge)).withColumn("lines", F.filter(F.transform("lines", probability), lambda p: (p["k"] < k) & (p["probability"] >= SURE)))
-    out = scored.withColumn("notices", F.transform("lines", agreement))
+    scored = base.withColumn("parts", F.transform("parts", judge)).withColumn("parts", F.filter(F.transform("parts", probability), lambda p: (p["k"] < k) & (p["probability"] >= SURE)))
+    out = scored.withColumn("notices", F.transform("parts", agreement))
     sure = F.filter("notices", lambda n: n["confirmed"])
     out = out.withColumn("sure", sure)
     return out.select(
         F.col("id").alias(id_col),
-        "n_lines",
+        "n_paragraphs",
         F.size("sure").cast("bigint").alias("n_notices"),
         (F.size("notices") - F.size("sure")).cast("bigint").alias("n_unconfirmed"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("sure", lambda n: n["family"]))), ",").alias("families"),
