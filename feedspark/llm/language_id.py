@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from feedspark.llm.shared import prepare, small, tidy, written
 from feedspark.llm.shingles import mix
 
-#: Labelled documents that the model learns from, about; chosen by a hash of their ids.
-TRAIN_DOCS = 12_000
+#: Labelled documents that the model learns from, about, and of each language at least, about (all, if it has fewer);
+#: chosen by a hash of their ids.
+TRAIN_DOCS, LANG_DOCS = 12_000, 1_000
 #: Log-likelihood that a change of language costs.
 SWITCH = 14.0
 #: Buckets of letter trigrams, and of whole words.
@@ -34,15 +35,18 @@ SCRIPTS = ["", *dict.fromkeys(n for _, n in _SCRIPTS if n)]
 _NUMBER = np.array([SCRIPTS.index(n) for _, n in _SCRIPTS])
 
 
+#: The bit of a mark: marks stand inside words, but a word has a letter.
+MARK = 0x80
+
+
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    """Script number + 1 of each code point that is a letter or a mark on one, else 0."""
+    """Script number + 1 of each code point that is a letter, plus :data:`MARK` of a mark on one, else 0."""
     out = np.zeros(0x110000, dtype=np.uint8)
-    for c in range(0x41, 0x32400):
-        if unicodedata.category(chr(c))[0] in "LM":
-            out[c] = 1
-    found = np.flatnonzero(out)
+    kinds = np.array([{"L": 1, "M": 2}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x41, 0x32400)])
+    found = np.flatnonzero(kinds) + 0x41
     out[found] = _NUMBER[np.searchsorted(_STARTS, found, "right") - 1] + 1
+    out[np.flatnonzero(kinds == 2) + 0x41] |= MARK
     return out
 
 
@@ -54,7 +58,7 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words (runs of letters) of a group of texts, and their features."""
+    """The words (runs of letters and marks with a letter among them) of a group of texts, and their features."""
 
     def __init__(self, texts: list[str]) -> None:
         points, starts = _points(texts)
@@ -62,11 +66,17 @@ class Words:
         inside = kind > 0
         edge = np.diff(inside.view(np.int8))
         self.start, self.end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+        letter = np.r_[0, np.cumsum(inside & (kind < MARK))]
+        bare = letter[self.end] == letter[self.start]
+        if bare.any():  # marks alone
+            for lo, hi in zip(self.start[bare].tolist(), self.end[bare].tolist(), strict=True):
+                inside[lo:hi] = False
+            self.start, self.end = self.start[~bare], self.end[~bare]
         self.at = np.flatnonzero(inside)
         self.text = np.searchsorted(starts, self.start, "right") - 1
         self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))
         self.size = self.end - self.start
-        self.script = kind[self.start].astype(np.int64) - 1
+        self.script = (kind[self.start] & np.uint8(MARK - 1)).astype(np.int64) - 1
         p = np.where(inside, points, np.uint32(0)).astype(np.uint64)
         tri = (p[self.at - 1] << np.uint64(42)) ^ (p[self.at] << np.uint64(21)) ^ p[self.at + 1]
         tri = mix(tri)
@@ -169,16 +179,19 @@ def label(model: Model, texts: list[str], switch: float = SWITCH) -> list[tuple[
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> Model:
-    """A model from about ``train_docs`` of the labelled rows of ``docs``, chosen by a hash of ``key_col``.
+    """A model from about ``train_docs`` of the labelled rows of ``docs``, chosen by a hash of ``key_col``; of a rare language
+    about ``LANG_DOCS`` rows, or all that there are, teach beyond its share.
 
     Rows with a null language or text teach nothing. Counting is distributed; the driver
     gets the sums of a fixed number of buckets for each language.
     """
     prepare(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(key_col), F.lit(3)), F.lit(1 << 30)).alias("spot"))
-    n = rows.count()
+    many = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    n = sum(many.values())
     if n > train_docs:
-        rows = rows.where(F.col("spot") < int((1 << 30) * train_docs / n))
+        shares = F.create_map(*[F.lit(x) for lang, m in many.items() for x in (lang, int((1 << 30) * max(train_docs / n, LANG_DOCS / m)))])
+        rows = rows.where(F.col("spot") < shares[F.col("lang")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
