@@ -18,6 +18,8 @@ TRAIN_DOCS = 16_000
 #: Words and word beginnings learned from the labels, at most; the different toxic texts that they must be in, and
 #: the log-odds that they must have for sure (less ``SURE`` standard deviations).
 LEARNED, LEAST_DOCS, LEAST_ODDS, SURE = 4000, 4, 2.0, 1.5
+#: Parts of the labelled texts: one calibrates, the others grow the trees.
+FOLDS = 5
 #: Bytes of the word beginnings.
 STEMS = (4, 5, 6)
 #: Words within which a second-person word is near an insult, and the width of the densest stretch.
@@ -193,9 +195,9 @@ class Model:
         return np.clip(self.scale.apply(self.trees.raw(self.features(texts))), 0.0, 1.0)
 
 
-def _distinct(rows: DataFrame) -> DataFrame:
-    """``rows`` (y, text) with most copies and near copies left out: of the texts of a label that share
-    their smallest hashed run of three words, one stays."""
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` (y, text) with a key, the smallest hashed run of three words, and a fold that depends on the key alone: copies
+    and most near copies have one key, so they never stand on both sides of a split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,47 +207,55 @@ def _distinct(rows: DataFrame) -> DataFrame:
                 keys.append(int(s.min() >> np.uint64(1)) if len(s) else -1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), b.column(1)], names=["y", "key", "text"])
 
-    return rows.mapInArrow(tidy(run), "y int, key bigint, text string").groupBy("y", "key").agg(F.min("text").alias("text")).select("y", "text")
+    return rows.mapInArrow(tidy(run), "y int, key bigint, text string").withColumn("fold", F.pmod(F.xxhash64("key", F.lit(23)), F.lit(FOLDS)).cast("int"))
 
 
-def _learn_words(rows: DataFrame) -> tuple[Lexicon, Lexicon]:
+def _learn_words(rows: DataFrame) -> list[tuple[Lexicon, Lexicon]]:
     """Words, and beginnings of words, that stand in many more of the toxic texts than of the others (weight: log-odds).
 
-    Document frequencies are counted by hashes in parts and summed by Spark; the driver gets the ``LEARNED`` strongest.
+    From ``rows`` (y, key, text, fold): first those learned from all folds but 0, then for each other fold those learned
+    without it. Of the texts of a label and key one counts. Document frequencies are counted by hashes
+    in parts and summed by Spark; the driver gets the ``LEARNED`` strongest of each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: list[list[np.ndarray]] = [[], []]
-            ys: list[list[np.ndarray]] = [[], []]
-            for y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found: dict[tuple[int, int], list[tuple[np.ndarray, int]]] = {}
+            for y, fold, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = (x or "").encode("utf-8", "surrogatepass")
                 h, s, e = word_hashes(data, IS_ALNUM_WORD)
                 for kind, v in enumerate((h, stems(np.frombuffer(data, np.uint8), s, e)[0])):
-                    v = np.unique(v)
-                    found[kind].append(v)
-                    ys[kind].append(np.full(len(v), y))
-            for kind in (0, 1):
-                h, y = (np.concatenate(v) if v else np.empty(0, k) for v, k in ((found[kind], np.uint64), (ys[kind], np.int64)))
+                    found.setdefault((kind, fold), []).append((np.unique(v), y))
+            for (kind, fold), parts in found.items():
+                h, y = np.concatenate([v for v, _ in parts]), np.concatenate([np.full(len(v), y) for v, y in parts])
                 u, k = np.unique(h, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind), pa.int32()), pa.array(u.view(np.int64)), pa.array(np.bincount(k, y, len(u)).astype(np.int64)), pa.array(np.bincount(k, 1 - y, len(u)).astype(np.int64))], names=["kind", "word", "toxic", "clean"])
-
-    rows = written(_distinct(rows), "distinct")
-    t, c = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
-    odds = F.log((F.col("toxic") + 0.5) / (t - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (c - F.col("clean") + 0.5))
-    spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    df = rows.mapInArrow(tidy(run), "kind int, word bigint, toxic bigint, clean bigint").groupBy("kind", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    df = df.where(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).withColumn("sure", F.col("odds") - SURE * spread).where(F.col("sure") >= LEAST_ODDS)
-    got = df.orderBy(F.desc("sure"), "kind", "word").limit(LEARNED).collect()
-    words, beginnings = (Lexicon(np.array([r.word for r in got if r.kind == k], dtype=np.int64).view(np.uint64), np.array([r.odds for r in got if r.kind == k])) for k in (0, 1))
-    return words, beginnings
+                sums = [np.bincount(k, w, len(u)).astype(np.int64) for w in (y, 1 - y)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind), pa.int32()), pa.array(np.full(len(u), fold), pa.int32()), pa.array(u.view(np.int64)), *map(pa.array, sums)], names=["kind", "fold", "word", "toxic", "clean"])
+
+    one = written(rows.where("fold > 0").groupBy("y", "key", "fold").agg(F.min("text").alias("text")).select("y", "fold", "text"), "distinct")
+    totals = {r.fold: (r.t, r.n - r.t) for r in one.groupBy("fold").agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
+    counts = one.mapInArrow(tidy(run), "kind int, fold int, word bigint, toxic bigint, clean bigint")
+    own = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(1, FOLDS) for c in ("toxic", "clean")]
+    counts = counts.groupBy("kind", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), *own)
+    counts = written(counts.where(F.col("toxic") >= LEAST_DOCS), "words")
+    out = []
+    for left_out in range(FOLDS):
+        t, c = (sum(v[i] for f, v in totals.items() if f != left_out) for i in (0, 1))
+        toxic, clean = (F.col(x) - F.col(f"{x}{left_out}") if left_out else F.col(x) for x in ("toxic", "clean"))
+        odds = F.log((toxic + 0.5) / (t - toxic + 0.5)) - F.log((clean + 0.5) / (c - clean + 0.5))
+        spread = F.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+        strong = counts.where(toxic >= LEAST_DOCS).select("kind", "word", odds.alias("odds"), (odds - SURE * spread).alias("sure")).where(F.col("sure") >= LEAST_ODDS)
+        got = strong.orderBy(F.desc("sure"), "kind", "word").limit(LEARNED).collect()
+        out.append(tuple(Lexicon(np.array([r.word for r in got if r.kind == k], dtype=np.int64).view(np.uint64), np.array([r.odds for r in got if r.kind == k])) for k in (0, 1)))
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from about ``train_docs`` labelled texts, chosen by a hash of the id.
 
     A document with several labels is toxic if one of them says so; null labels and ids
-    teach nothing. Four fifths grow the trees, the rest (by another hash) fits the calibration.
+    teach nothing. Four of five folds grow the trees, the rest fits the calibration. The words of a text that grows
+    trees are looked up in lexicons learned without its fold, so that learned words look no better there than they will be.
     """
     prepare(docs.sparkSession)
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
@@ -254,16 +264,20 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
     n = y.join(x.select("id"), "id", "left_semi").count()
     if n > train_docs:
         y, x = (d.where(spot < int((1 << 30) * train_docs / n)) for d in (y, x))
-    rows = written(x.join(y, "id").select("y", "text", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(5)).alias("fold")), "labelled")
-    model = Model(*_learn_words(rows.where("fold > 0").select("y", "text")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = written(_keyed(x.join(y, "id").select("y", "text")), "labelled")
+    models = [Model(*words) for words in _learn_words(rows)]
+    model, shared = models[0], docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = shared.value.features([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(f), pa.list_(pa.float64()))], names=["y", "fold", "x"])
-
-    got = rows.mapInArrow(tidy(run), "y int, fold bigint, x array<double>").collect()
+            folds, texts = b.column(1).to_numpy(), [t or "" for t in b.column(2).to_pylist()]
+            f = np.zeros((len(texts), len(FEATURES)))
+            for fold in np.unique(folds).tolist():
+                mine = np.flatnonzero(folds == fold)
+                f[mine] = shared.value[fold].features([texts[i] for i in mine])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(f), pa.list_(pa.float64()))], names=["y", "fold", "x"])
+
+    got = rows.select("y", "fold", "text").mapInArrow(tidy(run), "y int, fold int, x array<double>").collect()
     got.sort(key=lambda r: (r.fold, r.y, r.x))
     fold, label = np.array([r.fold for r in got]), np.array([r.y for r in got], dtype=float)
     matrix = np.array([r.x for r in got]).reshape(len(got), len(FEATURES))
