@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from feedspark.llm.shared import prepare, tidy, written
 from feedspark.llm.shingles import IS_ALNUM_WORD, word_hashes
@@ -81,7 +82,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, id_col: str =
     spark = prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     shared = spark.sparkContext.broadcast(terms)
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "void": pa.null()}[kind.simpleString()]
+    arrow_kind = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = shared.value
@@ -174,6 +175,42 @@ class Segment:
         return _member(self.terms, terms)
 
 
+def _search(index: DataFrame, queries: list[tuple[str, str]], find, column: str) -> DataFrame:
+    """Rows (id, query, ``column``) of what ``find(segment, terms)`` finds for each query of known words."""
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    shared = index.sparkSession.sparkContext.broadcast([(name, words_of(text)) for name, text in queries])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*(b.column(n) for n in ("doc_ids", "lengths", "terms", "counts", "positions")), strict=True):
+                seg = Segment(*(x.as_py() for x in row))
+                docs, names, places = [], [], []
+                for name, words in shared.value:
+                    terms, there = seg.numbers(words)
+                    if not len(words) or not there.all():
+                        continue
+                    found = find(seg, terms)
+                    doc = np.searchsorted(seg.starts, found, "right") - 1
+                    docs += [seg.ids[d] for d in doc.tolist()]
+                    names += [name] * len(found)
+                    places += (found - seg.starts[doc]).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field("doc_ids").type.value_type), pa.array(names, pa.string()), pa.array(places, pa.int64())], names=["id", "query", column])
+
+    return index.mapInArrow(tidy(run), f"id {kind}, query string, {column} bigint")
+
+
+def find_phrases(index: DataFrame, queries: list[tuple[str, str]]) -> DataFrame:
+    """Exact phrase matches of ``queries`` (name, text) in an index of :func:`build_index` that keeps all terms: a row
+    (id, query, start) for each occurrence, with the number of its first word in the document. A query without words matches nothing."""
+    return _search(index, queries, lambda seg, terms: seg.phrase(terms), "start")
+
+
+def find_near(index: DataFrame, queries: list[tuple[str, str]], slop: int) -> DataFrame:
+    """Proximity matches of ``queries`` (name, text): a row (id, query, at) for each place in a document where the word of the query that
+    is rarest in its segment has all the others within ``slop`` words, in any order; a word asked for twice counts once."""
+    return _search(index, queries, lambda seg, terms: seg.near(np.unique(terms), slop), "at")
+
+
 def match_windows(seg: Segment, q: Queries) -> tuple[list[list[tuple[int, int]]], list[set[int]]]:
     """For each document of a segment: the word spans of occurring windows, and the items that hold them."""
     spans: list[list[tuple[int, int]]] = [[] for _ in seg.ids]

@@ -40,11 +40,12 @@ def intervals(entries: DataFrame) -> DataFrame:
     return rows.where("event = 'add' AND (valid_to IS NULL OR valid_to > valid_from)").select("list", "kind", "pattern", "action", "valid_from", "valid_to")
 
 
-def _keys(host: Column, path: Column) -> Column:
-    """What can match a capture: each domain above its host, the host, and each prefix of its path that ends in / or is the path."""
+def _keys(host: Column, path: Column, depth: int) -> Column:
+    """What can match a capture: each domain above its host, the host, its whole path, and each prefix of it that ends in one of
+    the first ``depth`` slashes; no entry has more, and all prefixes of a path of many slashes would grow with its square."""
     labels, parts = F.split(host, r"\."), F.split(F.lower(path), "/")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key")))
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")).alias("key")))
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(depth), F.size(parts) - 1))), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")).alias("key")))
     whole = F.array(F.struct(F.lit("host").alias("kind"), host.alias("key")), F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lower(path)).alias("key")))
     return F.array_distinct(F.concat(domains, whole, prefixes))
 
@@ -66,7 +67,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(at_col).cast("timestamp").alias("at"))
     # Equal captures are looked up once, and put back at the end.
     rows = rows.groupBy("id", "url", "at").agg(F.count(F.lit(1)).alias("copies")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    keys = F.coalesce(_keys(F.col("host"), F.col("path")), F.array(F.struct(F.lit("none").alias("kind"), F.lit("").alias("key"))))
+    depth = valid.where("kind = 'prefix'").agg(F.coalesce(F.max(F.size(F.split("pattern", "/"))), F.lit(1))).first()[0]  # one number
+    keys = F.coalesce(_keys(F.col("host"), F.col("path"), depth), F.array(F.struct(F.lit("none").alias("kind"), F.lit("").alias("key"))))
     rows = rows.select("id", "url", "at", "host", "copies", F.explode(keys).alias("k")).select("id", "url", "at", "host", "copies", "k.kind", "k.key")
     right = small(valid.withColumnRenamed("kind", "of_kind"), BROADCAST_ENTRIES)
     on = (F.col("kind") == F.col("of_kind")) & (F.col("key") == F.col("pattern")) & (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))

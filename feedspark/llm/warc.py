@@ -8,6 +8,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote_to_bytes
 
 import pyarrow as pa
 import zstandard
@@ -47,6 +48,15 @@ def _clean(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value)
 
 
+def _id_text(page_id: object) -> str:
+    """An id as a header's value: percent-encoded, so that spaces, line ends and other scripts come back as they were."""
+    return quote(str(page_id).encode("utf-8", "surrogatepass"), safe="")
+
+
+def _id_of(value: str | None) -> str | None:
+    return None if value is None else unquote_to_bytes(value).decode("utf-8", "surrogatepass")
+
+
 def build_record(kind: str, page_id: object, url: str | None, payload: bytes, payload_digest: str, refers_to: object = None) -> bytes:
     """One WARC record: an HTTP response with its payload, or a revisit with the headers alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -55,13 +65,13 @@ def build_record(kind: str, page_id: object, url: str | None, payload: bytes, pa
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {record_id(page_id)}",
         f"WARC-Date: {_DATE}",
-        f"WARC-Page-ID: {page_id}",
+        *([] if page_id is None else [f"WARC-Page-ID: {_id_text(page_id)}"]),
         f"WARC-Target-URI: {_clean(url or '')}",
         f"WARC-Payload-Digest: sha1:{payload_digest}",
         f"WARC-Block-Digest: sha1:{digest(block)}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Page-ID: {_id_text(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return _VERSION + "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -208,9 +218,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """
     spark = prepare(pages.sparkSession)
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("body"))
-    src = src.withColumn("sha", F.sha1(F.encode("body", "UTF-8")))
-    equal = src.where(F.col("id").isNotNull() & (F.octet_length("body") >= dedup_from)).groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
-    joined = src.join(equal, "sha", "left").select("id", "url", "body", F.when(F.octet_length("body") >= dedup_from, F.col("first")).alias("first"))
+    # Equal payloads: of one digest, length and second hash.
+    same = ["sha", "size", "check"]
+    src = src.withColumns({"sha": F.sha1(F.encode("body", "UTF-8")), "size": F.octet_length("body"), "check": F.xxhash64("body")})
+    equal = src.where(F.col("id").isNotNull() & (F.col("size") >= dedup_from)).groupBy(*same).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*same, "first")
+    joined = src.join(equal, same, "left").select("id", "url", "body", F.when(F.col("size") >= dedup_from, F.col("first")).alias("first"))
     chosen = pages.where(F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id")).distinct().orderBy("h", "id").limit(DICT_PAGES)
     chosen = [r.id for r in chosen.collect()]
     body = F.substring(F.col(payload_col).cast("string"), 1, DICT_PAGE_BYTES)
@@ -262,7 +274,7 @@ def read_archives(archives: DataFrame, content_col: str = "content", payload: bo
                 for r in read_archive(data.as_py()):
                     h = r["headers"]
                     pid, ref = h.get("warc-page-id"), h.get("warc-refers-to-page-id")
-                    rows.append((h["warc-type"], None if pid == "None" else pid, h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, r["http_length"], ref, r["offset"], r["length"], r["payload"] if payload and h["warc-type"] != "revisit" else None))
+                    rows.append((h["warc-type"], _id_of(pid), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, r["http_length"], _id_of(ref), r["offset"], r["length"], r["payload"] if payload and h["warc-type"] != "revisit" else None))
                     size += len(r["payload"])
                     if len(rows) >= 512 or size >= 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
