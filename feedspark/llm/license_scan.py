@@ -26,10 +26,10 @@ ROUNDS, RATE, SPARSE = 400, 1.0, 2e-4
 SURE, AGREE = 0.5, 0.5
 #: A word; a version with its number is one.
 WORD = r"version [0-9]+(?:[.][0-9]+)*|[a-z0-9]+(?:[.+'-][a-z0-9]+)*"
-#: Where a paragraph ends (in lower-cased text): at a blank line, at a line's end after the end of a sentence, and before a line that
-#: opens a notice. The lines of a wrapped notice stay together.
-OPENS = r"spdx-license-identifier|licen[cs]ed under|released under|distributed under|all rights reserved|copyright|permission is hereby|redistribution and use|this (?:program|software|work|file|library|package|project|code) (?:is|may)"
-PARAGRAPH = rf"\n[ \t\r]*(?=\n)|(?<=[.!?:;])[ \t\r]*\n|\n(?=[^a-z0-9\n]*(?:{OPENS})\b)"
+#: Where a paragraph ends: at a blank line, at a line's end after the end of a sentence, and before a line that opens a notice (with
+#: a capital: the lines of a wrapped notice stay together).
+OPENS = "SPDX-License-Identifier|Licen[cs]ed under|Released under|Distributed under|All rights reserved|Copyright|Permission is hereby|Redistribution and use|This (?:program|software|work|file|library|package|project|code) (?:is|may)"
+PARAGRAPH = rf"\n[ \t\r]*(?=\n)|(?<=[.!?])[ \t\r]*\n|\n(?=[^A-Za-z0-9\n]*(?:{OPENS})\b)"
 #: Buckets of the weights; an n-gram is looked up in the few of its own.
 BUCKETS = 512
 #: Words that say nothing by themselves; an n-gram counts if it holds another one.
@@ -159,10 +159,15 @@ def _trigrams(words: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
 
 
+def _split(text: Column) -> Column:
+    """The paragraphs of a text that hold more than white space, in lower case."""
+    parts = F.filter(F.split(text, PARAGRAPH), lambda p: F.length(F.trim(F.translate(p, "\n\r\t", "   "))) > 0)
+    return F.transform(parts, lambda p: F.lower(p))
+
+
 def _paragraphs(text: Column, anchors: Column) -> Column:
     """Words of the paragraphs that hold a word which some weighted n-gram needs; all others have the score of no n-gram."""
-    parts = F.filter(F.split(F.lower(text), PARAGRAPH), lambda p: F.length(F.trim(F.translate(p, "\n\r\t", "   "))) > 0)
-    all_words = F.transform(parts, lambda p, i: F.struct(i.alias("paragraph"), F.regexp_extract_all(p, F.lit(WORD), F.lit(0)).alias("words")))
+    all_words = F.transform(_split(text), lambda p, i: F.struct(i.alias("paragraph"), F.regexp_extract_all(p, F.lit(WORD), F.lit(0)).alias("words")))
     return F.filter(all_words, lambda p: F.arrays_overlap(p["words"], anchors))
 
 
@@ -190,7 +195,7 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(
         F.col(id_col).alias("id"),
-        F.size(F.filter(F.split(F.lower(text), PARAGRAPH), lambda p: F.length(F.trim(F.translate(p, "\n\r\t", "   "))) > 0)).cast("bigint").alias("n_paragraphs"),
+        F.size(_split(text)).cast("bigint").alias("n_paragraphs"),
         _paragraphs(text, _literal(m.anchors, "array<string>")).alias("parts"),
     )
 

@@ -16,7 +16,7 @@ def model():
 
 
 def brute(m, text):
-    parts = [x for x in re.split(L.PARAGRAPH, (text or "").lower()) if x.strip(" \n\r\t")]
+    parts = [x.lower() for x in re.split(L.PARAGRAPH, text or "") if x.strip(" \n\r\t")]
     out = []
     for i, line in enumerate(parts):
         p = m.probabilities(line)
