@@ -49,7 +49,7 @@ _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(33, 127) if not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123)]] = True
 _MARK = np.zeros(256, bool)
 _MARK[[33, 63]] = True
-_CLASSES = [_UPPER, _LETTER, _DIGIT, _PUNCT, _MARK, ~IS_SPACE_WORD]
+_CLASSES = [_UPPER, _LETTER, _DIGIT, _PUNCT, _MARK, IS_SPACE_WORD]
 
 FEATURES = [
     "log_words", "insults", "insult_share", "insult_kinds", "densest_insults", "learned", "learned_share", "densest_learned", "learned_weight", "stems", "stem_share", "densest_stems", "stem_weight",
