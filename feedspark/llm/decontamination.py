@@ -157,11 +157,10 @@ class Segment:
         return found[found + len(terms) <= self.starts[doc + 1]]
 
     def near(self, terms: np.ndarray, slop: int) -> np.ndarray:
-        """Positions of the rarest term that have every other term of the same document within ``slop`` words."""
+        """Positions of the first term that have every other term of the same document within ``slop`` words, the rarest looked for first."""
         df = self.ends[terms + 1] - self.ends[terms]
-        order = np.argsort(df, kind="stable")
-        found = self.postings(int(terms[order[0]])).astype(np.int64)
-        for o in order[1:]:
+        found = self.postings(int(terms[0])).astype(np.int64)
+        for o in np.argsort(df, kind="stable"):
             if not len(found):
                 break
             p = self.postings(int(terms[o])).astype(np.int64)
@@ -206,9 +205,9 @@ def find_phrases(index: DataFrame, queries: list[tuple[str, str]]) -> DataFrame:
 
 
 def find_near(index: DataFrame, queries: list[tuple[str, str]], slop: int) -> DataFrame:
-    """Proximity matches of ``queries`` (name, text): a row (id, query, at) for each place in a document where the word of the query that
-    is rarest in its segment has all the others within ``slop`` words, in any order; a word asked for twice counts once."""
-    return _search(index, queries, lambda seg, terms: seg.near(np.unique(terms), slop), "at")
+    """Proximity matches of ``queries`` (name, text): a row (id, query, at) for each place of a query's first word in a document that has
+    all its other words within ``slop`` words, before or after it, in any order; a word asked for twice counts once."""
+    return _search(index, queries, lambda seg, terms: seg.near(terms, slop), "at")
 
 
 def match_windows(seg: Segment, q: Queries) -> tuple[list[list[tuple[int, int]]], list[set[int]]]:

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
+import pytest
 
 from feedspark.llm import decontamination as D
 
@@ -77,6 +79,33 @@ def test_proximity(spark):
     seg = D.Segment(*list(index[0])[1:])
     at, there = seg.numbers(D.words_of("red blue"))
     assert there.all()
-    assert seg.near(at, 3).tolist() == [3]
+    assert seg.near(at, 3).tolist() == [0] and seg.near(at[::-1], 3).tolist() == [3]
     assert seg.near(at, 2).tolist() == []
     assert np.array_equal(seg.phrase(seg.numbers(D.words_of("x blue x"))[0]), [2])
+
+
+def test_phrase_and_proximity_searches(spark, monkeypatch):
+    monkeypatch.setattr(D, "SEGMENT_DOCS", 3)
+    rng = random.Random(3)
+    docs = [(f"d{i}", " ".join(rng.choice("abcde") for _ in range(rng.randrange(30)))) for i in range(40)] + [(None, "a b"), ("n", None)]
+    index = D.written(D.build_index(spark.createDataFrame(docs, "doc_id string, text string").repartition(3)), "test_index")
+    queries = [("one", "a b"), ("two", "c a d"), ("none", ""), ("unknown", "a zz"), ("same", "b b")]
+    got = sorted((str(r.id), r.query, r.start) for r in D.find_phrases(index, queries).collect())
+    want = sorted((str(d), q, i) for d, t in docs for q, x in queries if x for i in range(len(words(t))) if words(t)[i : i + len(x.split())] == words(x))
+    assert got == want and len(want) > 20
+    near = {(str(r.id), r.query, r["at"]) for r in D.find_near(index, queries, 2).collect()}
+    want = set()
+    for d, t in docs:
+        w = words(t)
+        for q, x in queries:
+            need = words(x)
+            want |= {(str(d), q, i) for i in range(len(w)) if need and w[i] == need[0] and all(n in w[max(0, i - 2) : i + 3] for n in need)}
+    assert near == want and {q for _, q, _ in want} == {"one", "two", "same"}
+
+
+@pytest.mark.parametrize("kind", ["date", "decimal(9,2)", "smallint", "double"])
+def test_ids_of_any_type(spark, kind):
+    docs = spark.createDataFrame([(1, "one two"), (2, "x"), (None, "one two")], "n int, text string").selectExpr(f"CAST({'date_add(DATE' + chr(39) + '2024-01-01' + chr(39) + ', n)' if kind == 'date' else 'n'} AS {kind}) AS doc_id", "text")
+    got = D.decontaminate(docs, spark.createDataFrame([(7, "one two")], "item_id int, text string"))
+    assert got.schema["doc_id"].dataType.simpleString() == kind
+    assert sorted((str(r.doc_id), r.n_hit) for r in got.collect()) == sorted((str(r.doc_id), 2 if r.text == "one two" else 0) for r in docs.collect())

@@ -79,3 +79,18 @@ def test_no_words_and_no_rows(spark):
 def test_one_source(spark):
     got = M.mix(spark.createDataFrame([(i, "a b c", "s", "") for i in range(100)], DOCS)).collect()
     assert sum(r.taken for r in got) == 450
+
+
+def test_rates_are_tilted_and_copies_follow_them(spark, monkeypatch):
+    monkeypatch.setattr(M, "BROADCAST_SOURCES", -1)  # all joins by shuffle
+    rows = corpus(5, ["a", "b", "c", None], 800)
+    got = M.mix(spark.createDataFrame(rows, DOCS)).collect()
+    by = {}
+    for r, source in ((r, dict((i, s) for i, _, s, _ in rows)[r.doc_id]) for r in got):
+        by.setdefault(source, []).append(r)
+    for x in by.values():
+        assert sum(r.rate * r.size for r in x) == pytest.approx(x[0].target, rel=1e-6)
+        tilt = [math.log(r.rate) / r.size for r in x if r.size and r.rate < 2]
+        assert max(tilt, default=0) - min(tilt, default=0) < 1e-9  # one multiplier a source: the least relative entropy
+        assert all(r.rate == 2 for r in x if r.size and tilt and tilt[0] * r.size >= math.log(2) + 1e-9)
+        assert all(0 <= r.copies <= 2 and abs(r.copies - r.rate) < 1.2 for r in x)

@@ -98,6 +98,17 @@ def test_run_is_the_stages_one_after_the_other(spark, folder):
     assert P.run(spark, folder).orderBy(order).collect() == docs.orderBy(order).collect()
 
 
+def test_clashing_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60).selectExpr("*", "'x' AS size", "1 AS copies", "2 AS Target", "'k' AS node", "7 AS fold", "'t' AS score", "doc_id AS id", "5 AS kept")
+    for name, stage in P.STAGES:
+        out = P.written(stage(spark, docs, folder), f"clash_{name}")
+        if name != "mixing":
+            assert out.columns == docs.columns and out.where("size <> 'x' OR kept <> 5").isEmpty()
+            docs = out
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "node", "fold", "score", "id", "kept", "copy", "copies", "size", "source_size", "target", "taken"]
+    assert out.where("size <> taken").isEmpty() and not out.isEmpty()
+
+
 def test_odd_rows(spark, folder):
     rows = [(None, "abc abd abe", "aa", None, 1), (None, None, None, None, None), (3, "abc abd abf", "aa", "x", 1), (3, "abc abd abf", "aa", "x", 1), (4, "Abc abd abf", None, "x", 1)]
     docs = spark.createDataFrame(rows, DOCS)

@@ -91,3 +91,10 @@ def test_oracle(spark):
     got = [tuple(r) for r in op9_url_filters(spark, DATA).select(*names).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert {r[-1] for r in got} == {"keep", "block"}
+
+
+def test_very_long_paths_and_shuffled_lists(spark, monkeypatch):
+    monkeypatch.setattr(U, "BROADCAST_ENTRIES", -1)
+    e = [("l", "prefix", "p.com/a/b/", "block", "add", day(1), 1), ("l", "prefix", "p.com/" + "a/" * 40, "allow", "add", day(1), 2)]
+    c = [(1, "http://p.com/a/b/" + "c/" * 60_000, day(2)), (2, "http://p.com/" + "a/" * 50_000, day(2)), (3, "http://p.com/a/", day(2))]
+    assert decide(spark, c, e) == [(1, "p.com", 1, "l", "prefix:p.com/a/b/", "block"), (2, "p.com", 1, "l", "prefix:p.com/" + "a/" * 40, "keep"), (3, "p.com", 0, "", None, "keep")]

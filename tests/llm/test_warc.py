@@ -34,6 +34,14 @@ def test_small_payloads_and_odd_ids(spark):
     assert sorted((r.page_id or "", r.record_type, r.refers_to or "") for r in got) == [("", "response", ""), ("1", "response", ""), ("2", "response", ""), ("3", "response", ""), ("3", "response", ""), ("4", "revisit", "3")]
 
 
+def test_ids_come_back_as_they_were(spark):
+    ids = ["None", " a", "b\r\nX: y", "100%", "ключ", "", None, "c"]
+    pages = spark.createDataFrame([(i, "u", f"{i}", "") for i in ids] + [("d", "u", "c", "")], "page_id string, url string, html string, record_type string")
+    got = W.roundtrip(pages).collect()
+    assert sorted((r.page_id, r.refers_to) for r in got if r.page_id is not None) == sorted([*((i, None) for i in ids if i is not None and i != "None"), ("d", "c"), ("None", None)])
+    assert [r.record_type for r in got if r.page_id is None] == ["response"]
+
+
 def test_empty(spark):
     assert W.roundtrip(spark.createDataFrame([], PAGES)).count() == 0
 
