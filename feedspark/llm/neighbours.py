@@ -24,8 +24,8 @@ from feedspark.llm.shared import prepare, tidy, written
 TREES = 64
 #: Vectors and bytes of a shard, about.
 SHARD_ROWS, SHARD_BYTES = 32_768, 16 << 20
-#: The ascent ends once ENOUGH * rows ** POWER candidates of the shard, repeats counted, stand under the prefixes.
-ENOUGH, POWER = 8.0, 0.7
+#: The ascent ends once LEAST + ENOUGH * rows ** POWER candidates of the shard, repeats counted, stand under the prefixes.
+LEAST, ENOUGH, POWER = 600, 6.5, 0.7
 #: Queries that travel together, and tasks at most that share the queries of a shard.
 BLOCK, GROUPS = 256, 8
 #: Directions of a character, at most, and bits of a string, at least.
@@ -104,7 +104,7 @@ class Forest:
 
     def levels(self, q: np.ndarray) -> np.ndarray:
         """To which prefixes a query ascends in each tree (tree by query)."""
-        wanted = min(len(self.x) * TREES, ENOUGH * len(self.x) ** POWER)
+        wanted = min(len(self.x) * TREES, LEAST + ENOUGH * len(self.x) ** POWER)
         count = lambda level: np.subtract(*self.ranges(q, np.broadcast_to(level, q.shape))[::-1])
         # The deepest level at which all trees together hold enough; counts only shrink with depth.
         low, high = np.zeros(q.shape[1], np.int64), np.full(q.shape[1], self.bits, np.int64)

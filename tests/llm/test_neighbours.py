@@ -79,7 +79,7 @@ def test_ascent_ends_with_just_enough():
     level = f.levels(q)
     assert (level.max(axis=0) - level.min(axis=0) <= 1).all()
     held = np.subtract(*f.ranges(q, level)[::-1])
-    wanted = N.ENOUGH * 4000**N.POWER
+    wanted = N.LEAST + N.ENOUGH * 4000**N.POWER
     assert (held.sum(axis=0) >= wanted).all()
     last = np.argmax(level == level.max(axis=0), axis=0) - 1  # the last tree that ascended
     some = last >= 0
