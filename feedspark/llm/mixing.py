@@ -5,10 +5,11 @@
 2. Rates: of all rates between 0 and ``cap`` that give a source its target, those nearest to
    one copy of each document in relative entropy. They are min(cap, exp(lambda * size / mean size));
    a safeguarded Newton iteration on each source's dual finds lambda, all sources at once,
-   over the counts of documents by source and size.
-3. Copies: floor(rate + u + shift) with u from a hash of the id; a search in 16ths finds the
-   shift that comes nearest to each source's target, and a few single documents then
-   change by one copy where that comes nearer still.
+   over the counts of documents by source and size; a job takes several steps.
+3. Copies: floor(rate + u + shift) with u from a hash of the id. A document's k-th copy begins at the shift
+   k - rate - u, so a source's shift is a weighted quantile of these: histograms of their words, each
+   over the bin that the one before found, come nearest to the target, and a few single
+   documents then change by one copy where that comes nearer still.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from feedspark.llm.shared import small, written
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Tokens asked for, against all tokens; most copies of a document.
 SHARE, CAP = 1.5, 2
-#: Newton rounds at most; relative error of tokens at which they end.
-ROUNDS, CLOSE = 60, 1e-9
-#: Rounds of the search for the shift (16 parts each) and of single changes; error at which they end.
-SHIFTS, PARTS, CHANGES, NEAR = 9, 16, 4, 1e-5
+#: Newton steps at most, and of a job; relative error of tokens at which they end.
+ROUNDS, STEPS, CLOSE = 60, 5, 1e-9
+#: Histograms of the search for the shift, their bins, and rounds of single changes; error at which they end.
+SHIFTS, BINS, CHANGES, NEAR = 3, 4096, 4, 1e-5
 #: Sources up to which their table is broadcast.
 BROADCAST_SOURCES = 50_000
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -90,6 +91,25 @@ def _tilt(size: Column, lam: Column, mean: Column, cap: float) -> Column:
     return F.least(F.lit(float(cap)), F.exp(F.least(F.lit(50.0), lam * size / mean)))
 
 
+def _newton(state: DataFrame, cells: DataFrame, cap: float, few: bool) -> DataFrame:
+    """One step for all sources that aren't done."""
+    rate = _tilt(F.col("size"), F.col("lam"), F.col("mean"), cap)
+    x, tokens = F.col("size") / F.col("mean"), F.col("n") * F.col("size")
+    # Decimals add up to the same sum in any order, so reruns agree.
+    exact = lambda c: F.sum(F.when(F.col("done"), 0.0).otherwise(c).cast("decimal(30,8)")).cast("double")
+    kept = F.first(F.struct(*[F.col(c) for c in state.columns if c != "source"])).alias("s")
+    rows = _join_source(cells, F.broadcast(state) if few else state)
+    now = rows.groupBy("source").agg(kept, exact(tokens * rate).alias("f"), exact(F.when(rate < cap, tokens * x * rate).otherwise(0.0)).alias("d")).select("source", "s.*", "f", "d")
+    below = F.col("f") < F.col("target")
+    now = now.withColumns({"lo": F.when(below & ~F.col("done"), F.col("lam")).otherwise(F.col("lo")), "hi": F.when(~below & ~F.col("done"), F.col("lam")).otherwise(F.col("hi"))})
+    step = F.when((F.col("f") > 0) & (F.col("target") > 0), F.try_divide(F.log(F.col("target") / F.col("f")) * F.col("f"), F.col("d")))
+    wanted = F.col("lam") + step
+    inside = step.isNotNull() & ~F.isnan(step) & (wanted > F.col("lo")) & (wanted < F.col("hi"))
+    # A source without words has none to take at any rate.
+    now = now.withColumn("done", F.col("done") | (F.col("f") <= 0) | (F.abs(F.col("f") - F.col("target")) < CLOSE * F.greatest("target", F.lit(1.0))))
+    return now.withColumn("lam", F.when(F.col("done"), F.col("lam")).when(inside, wanted).otherwise((F.col("lo") + F.col("hi")) / 2)).select(*state.columns)
+
+
 def rates(cells: DataFrame, sources: DataFrame, cap: float = CAP) -> DataFrame:
     """``sources`` with lam and mean, from ``cells`` (source, size, n): Newton's method on the logarithm of the tokens.
 
@@ -98,34 +118,63 @@ def rates(cells: DataFrame, sources: DataFrame, cap: float = CAP) -> DataFrame:
     mean = cells.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
     full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
     state = _join_source(mean, sources).select(
-        "source", "source_size", "target", F.greatest("mean", F.lit(1e-9)).alias("mean"), F.when(full, F.lit(1e30)).otherwise(F.lit(0.0)).alias("lam"), F.lit(-1e12).alias("lo"), F.lit(1e12).alias("hi"), full.alias("done"), F.lit(0.0).alias("off")
+        "source", "source_size", "target", F.greatest("mean", F.lit(1e-9)).alias("mean"), F.when(full, F.lit(1e30)).otherwise(F.lit(0.0)).alias("lam"), F.lit(-1e12).alias("lo"), F.lit(1e12).alias("hi"), full.alias("done")
     )
     state = written(state, "dual")
-    cells = cells.where("size > 0")
-    for _ in range(ROUNDS):
-        open_ = small(state.where("NOT done"), BROADCAST_SOURCES)
-        rate = _tilt(F.col("size"), F.col("lam"), F.col("mean"), cap)
-        x, tokens = F.col("size") / F.col("mean"), F.col("n") * F.col("size")
-        # Decimals add up to the same sum in any order, so reruns agree.
-        exact = lambda c: F.sum(c.cast("decimal(30,8)")).cast("double")
-        sums = _join_source(cells, open_).groupBy("source").agg(exact(tokens * rate).alias("f"), exact(F.when(rate < cap, tokens * x * rate).otherwise(0.0)).alias("d"))
-        step = F.log(F.col("target") / F.col("f")) * F.col("f") / F.col("d")
-        low = F.when(F.col("f") < F.col("target"), F.col("lam")).otherwise(F.col("lo"))
-        high = F.when(F.col("f") < F.col("target"), F.col("hi")).otherwise(F.col("lam"))
-        now = _join_source(state.where("NOT done"), sums, "left").withColumns({"lo": low, "hi": high, "step": step, "off": F.coalesce(F.abs(F.col("f") - F.col("target")) / F.greatest("target", F.lit(1.0)), F.lit(0.0))})
-        wanted = F.col("lam") + F.col("step")
-        inside = F.col("step").isNotNull() & ~F.isnan("step") & (wanted > F.col("lo")) & (wanted < F.col("hi"))
-        now = now.withColumn("done", (F.col("off") < CLOSE) | F.col("f").isNull())
-        now = now.withColumn("lam", F.when(F.col("done"), F.col("lam")).when(inside, wanted).otherwise((F.col("lo") + F.col("hi")) / 2))
-        state = written(state.where("done").unionByName(now.select(*state.columns)), "dual")
+    few = state.count() <= BROADCAST_SOURCES
+    for _ in range(0, ROUNDS, STEPS):
         if state.where("NOT done").isEmpty():
             break
+        for _ in range(STEPS):
+            state = _newton(state, cells, cap, few)
+        state = written(state, "dual")
     return state.select("source", "source_size", "target", "lam", "mean")
 
 
+def _rate(size: Column, cap: int) -> Column:
+    return F.when(F.col("lam") >= 1e29, F.lit(float(cap))).otherwise(_tilt(size, F.col("lam"), F.col("mean"), cap))
+
+
 def _copies(size: Column, u: Column, shift: Column, cap: int) -> Column:
-    rate = F.when(F.col("lam") >= 1e29, F.lit(float(cap))).otherwise(_tilt(size, F.col("lam"), F.col("mean"), cap))
-    return F.greatest(F.lit(0), F.least(F.lit(cap), F.floor(rate + u + shift))).cast("int")
+    return F.greatest(F.lit(0), F.least(F.lit(cap), F.floor(_rate(size, cap) + u + shift))).cast("int")
+
+
+def _shifts(places: DataFrame, tilted: DataFrame, cap: int, few: bool) -> DataFrame:
+    """``tilted`` with shift and taken (words): the shift of a source at which its copies' words come nearest to its target.
+
+    A histogram has a row for each source and bin of the shifts at which copies begin; its running sums say which bin the target is in,
+    and the next histogram is over that bin alone.
+    """
+    begins = F.explode(F.array(*[F.lit(float(k)) - _rate(F.col("size"), cap) - F.col("u") for k in range(1, cap + 1)])).alias("at")
+    state = tilted.withColumns({"lo": F.lit(-1.0 * cap), "hi": F.lit(1.0 * cap), "below": F.lit(0).cast("bigint"), "shift": F.lit(0.0), "taken": F.lit(0.0)})
+    names = state.columns
+    state = written(state, "shifts")
+    for _ in range(SHIFTS):
+        width = (F.col("hi") - F.col("lo")) / BINS
+        rows = _join_source(places, F.broadcast(state) if few else state)
+        inside = rows.select("source", begins, "lo", "hi", (F.col("n") * F.col("size")).alias("words")).where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
+        bins = inside.groupBy("source", F.least(F.lit(BINS - 1), F.floor((F.col("at") - F.col("lo")) / width)).alias("bin")).agg(F.sum("words").alias("words"))
+        order = Window.partitionBy("source").orderBy("bin")  # at most BINS rows a source
+        sums = bins.withColumn("upto", F.sum("words").over(order))
+        now = _join_source(sums, F.broadcast(state) if few else state)
+        now = now.withColumns({"upto": F.col("below") + F.col("upto"), "edge": F.col("lo") + (F.col("bin") + 1) * width})
+        crossing = F.min(F.when(F.col("upto") >= F.col("target"), F.struct("bin", "upto", "words", "edge", width.alias("width"))))
+        last = F.max(F.struct("bin", "upto", "words", "edge", width.alias("width")))
+        found = now.groupBy("source").agg(F.coalesce(crossing, last).alias("c"))
+        # At the upper edge of the bin all of its copies have begun, at the lower one none has.
+        gap = lambda taken: F.abs(taken - F.col("target"))
+        start, end = F.col("c.edge") - F.col("c.width"), F.col("c.edge")
+        before = F.col("c.upto") - F.col("c.words")
+        nearer = gap(before) < gap(F.col("c.upto"))
+        # A source without words, or with none in its last bin, stays as it is.
+        now = _join_source(state, found, "left").withColumns({
+            "shift": F.when(F.col("c").isNull(), F.col("shift")).when(nearer, start).otherwise(end), "taken": F.when(F.col("c").isNull(), F.col("taken")).when(nearer, before).otherwise(F.col("c.upto")).cast("double"),
+            "below": F.when(F.col("c").isNull(), F.col("below")).otherwise(before).cast("bigint"), "lo": F.when(F.col("c").isNull(), F.col("lo")).otherwise(start), "hi": F.when(F.col("c").isNull(), F.col("hi")).otherwise(end),
+        })
+        state = written(now.select(*names), "shifts")
+        if state.where(F.abs(F.col("taken") - F.col("target")) > NEAR * F.col("target")).isEmpty():
+            break
+    return state.drop("lo", "hi", "below")
 
 
 def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> MixPlan:
@@ -135,24 +184,10 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     tilted = rates(cells, written(targets(sizes, weights, share, cap), "targets"), cap)
 
     # Rows of one source, size and id move together: repeated rows have the same number of copies.
-    places = rows.where("size > 0").groupBy("source", "size", "u").agg(F.count(F.lit(1)).alias("n"))
-    state = written(tilted.withColumns({"lo": F.lit(-1.0 * cap), "hi": F.lit(1.0 * cap), "shift": F.lit(0.0), "taken": F.lit(-1e300)}), "shifts")
-    places = written(places, "places")
-    for _ in range(SHIFTS):
-        points = [F.col("lo") + (F.col("hi") - F.col("lo")) * (k / PARTS) for k in range(PARTS + 1)]
-        sums = _join_source(places, small(state, BROADCAST_SOURCES)).groupBy("source").agg(*[F.sum(F.col("n") * F.col("size") * _copies(F.col("size"), F.col("u"), p, cap)).alias(f"t{k}") for k, p in enumerate(points)])
-        found = F.array(*[F.struct(p.alias("shift"), F.col(f"t{k}").cast("double").alias("taken")) for k, p in enumerate(points)])
-        now = _join_source(state, sums, "left").withColumn("found", found)
-        gap = lambda x: F.abs(x["taken"] - F.col("target"))
-        below = F.filter("found", lambda x: x["taken"] <= F.col("target"))
-        above = F.filter("found", lambda x: x["taken"] > F.col("target"))
-        best = F.aggregate("found", F.struct(F.col("shift").alias("shift"), F.col("taken").alias("taken")), lambda a, x: F.when(gap(x) < gap(a), x).otherwise(a))
-        now = now.withColumns({"best": best, "lo": F.coalesce(F.array_max(below)["shift"], F.col("lo")), "hi": F.coalesce(F.array_min(above)["shift"], F.col("hi"))})
-        # A source without words has no rows in places: its shift stays 0.
-        now = now.withColumns({"shift": F.when(F.col("t0").isNull(), 0.0).otherwise(F.col("best.shift")), "taken": F.when(F.col("t0").isNull(), 0.0).otherwise(F.col("best.taken"))})
-        state = written(now.select(*state.columns), "shifts")
-        if state.where(F.abs(F.col("taken") - F.col("target")) > NEAR * F.col("target")).isEmpty():
-            break
+    places = written(rows.where("size > 0").groupBy("source", "size", "u").agg(F.count(F.lit(1)).alias("n")), "places")
+    tilted = written(tilted, "tilted")
+    few = tilted.count() <= BROADCAST_SOURCES
+    state = _shifts(places, tilted, cap, few)
 
     changes = written(state.limit(0).select("source", F.lit(0).cast("bigint").alias("size"), F.lit(0.0).alias("u"), F.lit(0).alias("by")), "changes")
     for _ in range(CHANGES):
@@ -179,7 +214,7 @@ def apply(rows: DataFrame, p: MixPlan, cap: int = CAP) -> DataFrame:
     mine = p.changes.withColumnRenamed("source", "s").withColumnRenamed("size", "z").withColumnRenamed("u", "v")
     out = _join_source(rows, small(p.sources, BROADCAST_SOURCES))
     out = out.join(small(mine, 4 * BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("u") == F.col("v")), "left")
-    rate = F.when(F.col("lam") >= 1e29, F.lit(float(cap))).otherwise(_tilt(F.col("size"), F.col("lam"), F.col("mean"), cap))
+    rate = _rate(F.col("size"), cap)
     copies = _copies(F.col("size"), F.col("u"), F.col("shift"), cap) + F.coalesce("by", F.lit(0))
     out = out.withColumns({"rate": rate, "copies": copies}).withColumn("taken", F.col("copies") * F.col("size"))
     return out.drop("lam", "mean", "shift", "s", "z", "v", "by")
