@@ -81,3 +81,24 @@ def test_every_table_reads_its_own_export(spark, tmp_path):
         p.write_text(",".join(c.name for c in spec.columns) + "\n" + ",".join(row) + "\n")
         got = read_table(spark, f"file://{p}", spec).first()
         assert got._errors == [] and all(v is not None for v in got), name
+
+
+def test_written_tables_need_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from feedspark.sources import scratch
+
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(spark)
+
+
+def test_appended_rows_come_back_in_order(spark):
+    from feedspark.sources.appended import AppendedTable
+
+    t = AppendedTable(spark, "a int, b string")
+    assert t.in_order().count() == 0
+    t.append(spark.createDataFrame([("x", 3), ("y", 1), ("z", 2)], "b string, a int"))
+    t.append(spark.createDataFrame([], "a int, b string"))
+    t.append(spark.createDataFrame([(3, None), (3, "x")], "a int, b string"))
+    assert [tuple(r) for r in t.in_order().collect()] == [(3, "x"), (1, "y"), (2, "z"), (3, None), (3, "x")]
