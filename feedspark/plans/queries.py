@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +23,9 @@ from feedspark.streaming.consume import consume, marks
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 REQUIRED = TABLES[:7]
+#: Bytes of a row group of the index of events, before compression, and tasks of a carrier in a batch that is drained from it.
+INDEX_BYTES = 256 << 10
+STRETCHES = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -432,35 +435,83 @@ SQL["q_page_bounds_nulls"] = """SELECT (rn - 1) // 100 AS page, CASE WHEN bool_o
 FROM (SELECT k, row_number() OVER (ORDER BY k NULLS FIRST) AS rn FROM (SELECT CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END AS k FROM orders)) GROUP BY 1"""
 
 
+@lru_cache(maxsize=64)
+def _row_groups(path: str) -> list[tuple[str, str, str, int]]:
+    """(first key, last key, file, number) of each row group of a folder of sorted Parquet files, in order of keys."""
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector, FileSystem
+
+    fs, at = FileSystem.from_uri(path)
+    found = []
+    for f in fs.get_file_info(FileSelector(at, allow_not_found=True)):
+        if f.base_name.endswith(".parquet"):
+            meta = pq.read_metadata(f.path, filesystem=fs)
+            keys = [meta.row_group(i).column(meta.schema.names.index(paging.KEY)).statistics for i in range(meta.num_row_groups)]
+            found += [(k.min, k.max, f.path, i) for i, k in enumerate(keys)]
+    return sorted(found)
+
+
 class EventPages(paging.PagedDocuments):
-    """``paged_documents`` over the table of events instead of a service: option path; a carrier is a type of event."""
+    """``paged_documents`` over the table of events instead of a service: option path, where :func:`_event_index` has put them; a carrier is a type of event.
+
+    A page is read from the row groups that hold it, of which one is held at a time.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "event_pages"
 
     def fetch(self, carrier: str) -> paging.Fetch:
-        import pyarrow.parquet as pq
+        return self._pages(carrier, [paging.KEY, "document"])
 
-        rows = pq.read_table(self.options["path"], columns=["event_id", "event_type", "props"], filters=[("event_type", "=", carrier)]).sort_by("event_id")
-        hits = [(f"{i:012d}", p) for i, p in zip(rows["event_id"].to_pylist(), rows["props"].to_pylist(), strict=True)]
-        keys = [k for k, _ in hits]
+    def fetch_keys(self, carrier: str) -> paging.Fetch:
+        return self._pages(carrier, [paging.KEY])
 
-        def one(after: str | None) -> list[tuple[str, str]]:
-            at = 0 if after is None else bisect_right(keys, after)
-            return hits[at : at + paging.PAGE_SIZE]
+    def _pages(self, carrier: str, columns: list[str]) -> paging.Fetch:
+        import pyarrow.parquet as pq
+        from pyarrow.fs import FileSystem
+
+        path = f"{self.options['path']}/n={self.carriers.index(carrier) + 1}"
+        groups, fs = _row_groups(path), FileSystem.from_uri(path)[0]
+        lasts = [g[1] for g in groups]
+        held: tuple[int, list[list]] = (-1, [])
+
+        def one(after: str | None) -> list[tuple[str, ...]]:
+            nonlocal held
+            hits: list[tuple[str, ...]] = []
+            for at in range(0 if after is None else bisect_right(lasts, after), len(groups)):
+                if held[0] != at:
+                    with pq.ParquetFile(groups[at][2], filesystem=fs) as f:
+                        rows = f.read_row_group(groups[at][3], columns=columns)
+                    held = at, [rows[c].to_pylist() for c in columns]
+                begin = 0 if after is None else bisect_right(held[1][0], after)
+                hits += zip(*[v[begin : begin + paging.PAGE_SIZE - len(hits)] for v in held[1]], strict=True)
+                if len(hits) == paging.PAGE_SIZE:
+                    break
+            return hits
 
         return one
 
 
+def _event_index(spark: SparkSession, sf_dir: str, carriers: list[str]) -> str:
+    """Events as an index of documents in the shared folder: a folder for each carrier, sorted by key in small row groups."""
+    path = scratch(spark, "event_index")
+    n = F.array_position(F.array(*map(F.lit, carriers)), F.col("event_type")).cast("int").alias("n")
+    rows = table(spark, sf_dir, "events").select(n, F.format_string("%012d", "event_id").alias(paging.KEY), F.col("props").alias("document"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(parts, "n", paging.KEY).sortWithinPartitions("n", paging.KEY)
+    dealt.write.option("parquet.block.size", INDEX_BYTES).partitionBy("n").parquet(path)
+    return path
+
+
 def q_stream_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages of all carriers as a stream, each batch passed on to a sink: what the sink has got of each carrier, and how progress was told."""
     ship(spark)
     spark.dataSource.register(EventPages)
     carriers = sorted(r.value for r in q_distinct_values(spark, sf_dir).collect())  # a row for each type of event
     sink = scratch(spark, "drained")
-    stream = spark.readStream.format("event_pages").options(path=f"{sf_dir}/events.parquet", carriers=",".join(carriers), pages="25").load()
-    query, progress = consume(stream, lambda df: df.write.mode("append").parquet(sink))
+    options = {"path": _event_index(spark, sf_dir, carriers), "carriers": ",".join(carriers), "pages": "25", "tasks": str(STRETCHES)}
+    query, progress = consume(spark.readStream.format("event_pages").options(**options).load(), lambda df: df.coalesce(len(carriers)).write.mode("append").parquet(sink))
     try:
         query.processAllAvailable()
     finally:
