@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from feedspark.registry import TableSpec, file_name, tables
 from feedspark.sources.archive import FeedError, FeedStore
 from feedspark.sources.csvio import ERRORS, check_counts, read_table, spark_type, to_csv_lines, valid, write_table
+from feedspark.sources.scratch import scratch
 
-#: Bytes of an archive that are written at once.
-CHUNK = 1 << 20
+#: Bytes of an archive that are copied at once.
+CHUNK = 1 << 16
 
 
 @dataclass
@@ -87,22 +88,30 @@ def export_feed(feed: Feed, folder: str) -> None:
 
 
 def export_archive(spark: SparkSession, frames: dict[str, DataFrame], path: str) -> None:
-    """One ZIP archive with a CSV member for each table. A ZIP is written from front to back, so rows stream through the
-    driver one partition at a time, straight to the archive's file system; :func:`export_feed` is the form that is written in parallel."""
+    """One ZIP archive with a CSV member for each table.
+
+    Tasks write the lines to the shared folder. A ZIP is written from front to back, so the files' bytes then stream through Hadoop's file systems in the driver's
+    JVM into the archive, as they do in :func:`stage_archive`; no row comes to the driver. :func:`export_feed` is the form that is written in parallel.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     to = jvm.org.apache.hadoop.fs.Path(path)
     out = jvm.java.util.zip.ZipOutputStream(to.getFileSystem(conf).create(to, True))
     try:
         for name, df in frames.items():
+            lines = jvm.org.apache.hadoop.fs.Path(scratch(spark, f"lines_{name}"))
+            fs = lines.getFileSystem(conf)
+            to_csv_lines(df).write.options(compression="none", lineSep="\n").text(lines.toString())
             out.putNextEntry(jvm.java.util.zip.ZipEntry(file_name(name)))
-            some = bytearray((",".join(df.columns) + "\n").encode())
-            for row in to_csv_lines(df).toLocalIterator():
-                some += (row.line + "\n").encode()
-                if len(some) >= CHUNK:
-                    out.write(some)
-                    some = bytearray()
-            out.write(some)
+            out.write((",".join(df.columns) + "\n").encode())
+            # In order of their names, which is that of the partitions.
+            for part in sorted(s.getPath().toString() for s in fs.listStatus(lines) if s.getPath().getName().startswith("part-")):
+                rows = fs.open(jvm.org.apache.hadoop.fs.Path(part))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(rows, out, CHUNK, False)
+                finally:
+                    rows.close()
             out.closeEntry()
+            fs.delete(lines, True)
     finally:
         out.close()
 

@@ -102,3 +102,19 @@ def test_appended_rows_come_back_in_order(spark):
     t.append(spark.createDataFrame([], "a int, b string"))
     t.append(spark.createDataFrame([(3, None), (3, "x")], "a int, b string"))
     assert [tuple(r) for r in t.in_order().collect()] == [(3, "x"), (1, "y"), (2, "z"), (3, None), (3, "x")]
+
+
+def test_an_archive_is_written_without_rows_in_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*a, **k):
+        raise AssertionError("rows came to the driver")
+
+    for name in ("toLocalIterator", "collect", "toPandas", "toArrow"):
+        monkeypatch.setattr(DataFrame, name, refused)
+    rows = spark.range(5000, numPartitions=7).selectExpr("id AS level_id", "if(id % 9 = 0, 'a \"b\",\nc', string(id)) AS level_name", "if(id % 4 = 0, NULL, id) AS level_index")
+    C.export_archive(spark, {"levels": rows, "agency": spark.range(0).selectExpr("id AS agency_id")}, f"file://{tmp_path}/x.zip")
+    want = ["level_id,level_name,level_index", *[f'{i},{chr(34) + "a " + chr(34) * 2 + "b" + chr(34) * 2 + "," + chr(10) + "c" + chr(34) if i % 9 == 0 else i},{i if i % 4 else ""}' for i in range(5000)]]
+    with zipfile.ZipFile(tmp_path / "x.zip") as z:
+        assert z.testzip() is None and z.namelist() == ["levels.txt", "agency.txt"]
+        assert z.read(z.namelist()[0]).decode() == "\n".join(want) + "\n" and z.read(z.namelist()[1]) == b"agency_id\n"
