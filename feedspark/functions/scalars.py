@@ -57,9 +57,11 @@ def is_clock_time(millis: Column) -> Column:
 
 def utc_naive(millis: Column) -> Column:
     """Milliseconds since 1970 as a UTC clock time without a zone; null outside the years 1 to 9999. The session's zone plays no part."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    within = F.when(is_clock_time(millis), millis.cast("bigint"))
-    return F.timestamp_add("MICROSECOND", within * 1000, epoch)
+    return _naive(F.when(is_clock_time(millis), millis.cast("bigint")))
+
+
+def _naive(millis: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", millis * 1000, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def utc_instant(millis: Column) -> Column:
@@ -85,14 +87,19 @@ def is_overlap(clock: Column, zone: Column) -> Column:
     return reduce(lambda a, b: a | b, shifted)
 
 
-def rebased(millis: Column, zone: Column) -> Column:
+def rebased(millis: Column, zone: Column, clock: Column | None = None, offset: Column | None = None) -> Column:
     """(instant, local, tz): the clock that :data:`INDEX_ZONE` shows at ``millis``, read as the clock of ``zone``.
 
     ``instant`` is the UTC clock time (without a zone) of that local time. A gap moves forward and an overlap takes the
-    earlier instant; :func:`clock_problem` tells of both.
+    earlier instant; :func:`clock_problem` tells of both. ``clock`` and ``offset``, of :class:`feedspark.functions.offsets.Offsets`, spare the conversions
+    where they aren't null; where ``offset`` isn't, there is no problem.
     """
     local = convert_naive(F.lit("UTC"), F.lit(INDEX_ZONE), utc_naive(millis))
+    if clock is not None:
+        local = F.coalesce(_naive(clock), local)
     instant = convert_naive(zone, F.lit("UTC"), local)
+    if clock is not None and offset is not None:
+        instant = F.coalesce(_naive(clock - offset * 1000), instant)
     return F.when(is_clock_time(millis) & zone.isNotNull(), F.struct(instant.alias("instant"), local.alias("local"), zone.alias("tz")))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedspark.functions import scalars as S
-from feedspark.sources.stations import constant_lookup, station_zones
+from feedspark.functions.offsets import Offsets
+from feedspark.sources.stations import common_zones, constant_lookup, station_zones
 
 # The documents' fields and the kinds of vehicles.
 SEGMENT = "struct<index:bigint,operating_carrier:struct<uid:string>,line:string,line_prefix:string,departure_time:bigint,arrival_time:bigint,departure_station:struct<uid:string>,arrival_station:struct<uid:string>,vehicle:struct<type:string>>"
@@ -42,10 +43,34 @@ def total_hits(df: DataFrame, column: str = "body") -> DataFrame:
     return df.select(F.from_json(column, ENVELOPE, {"mode": "PERMISSIVE"})["hits"]["total"]["value"].alias("total_hits"))
 
 
-def _with_zones(s: Column, zone: Lookup) -> Column:
-    """A segment with its stations' zones and its times, each looked up and converted once."""
-    dep, arr = zone(s["departure_station"]["uid"]), zone(s["arrival_station"]["uid"])
-    return F.struct(s.alias("raw"), dep.alias("dep_zone"), arr.alias("arr_zone"), S.rebased(s["departure_time"], dep).alias("dep"), S.rebased(s["arrival_time"], arr).alias("arr"))
+def _with_zones(segments: str, zone: Lookup, offsets: Offsets) -> Column:
+    """Segments with their stations' zones and offsets, each looked up once: what a step uses more than once, the step before has made."""
+    looked = F.transform(segments, lambda s: F.struct(
+        s.alias("raw"), zone(s["departure_station"]["uid"]).alias("dep_zone"), zone(s["arrival_station"]["uid"]).alias("arr_zone"),
+        offsets.clock(s["departure_time"]).alias("dep_clock"), offsets.clock(s["arrival_time"]).alias("arr_clock"),
+    ))
+    return F.transform(looked, lambda z: F.struct(
+        *[z[c].alias(c) for c in ("raw", "dep_zone", "arr_zone", "dep_clock", "arr_clock")],
+        offsets.offset(z["dep_clock"], z["dep_zone"]).alias("dep_offset"), offsets.offset(z["arr_clock"], z["arr_zone"]).alias("arr_offset"),
+    ))
+
+
+def _departure(z: Column) -> Column:
+    return S.rebased(z["raw"]["departure_time"], z["dep_zone"], z["dep_clock"], z["dep_offset"])
+
+
+def _arrival(z: Column) -> Column:
+    return S.rebased(z["raw"]["arrival_time"], z["arr_zone"], z["arr_clock"], z["arr_offset"])
+
+
+def _once(value: Column) -> Column:
+    """The same value, computed once for a row: a filter on what depends on it (the one that ``explode`` brings, too) isn't pushed below it, where all would be computed again."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def _problem(rebased: Column, zone: Column, offset: Column) -> Column:
+    """Whether a rebased time isn't certain; no change is near where there is an offset."""
+    return F.when(zone.isNotNull() & offset.isNull(), S.clock_problem(rebased).isNotNull())
 
 
 def _segment_errors(z: Column) -> Column:
@@ -58,28 +83,30 @@ def _segment_errors(z: Column) -> Column:
         (~F.coalesce(s["vehicle"]["type"].isin(*VEHICLES), F.lit(False)), "segment of an unknown vehicle"),
         (s["departure_station"]["uid"].isNotNull() & z["dep_zone"].isNull(), "segment from a station without a zone"),
         (s["arrival_station"]["uid"].isNotNull() & z["arr_zone"].isNull(), "segment to a station without a zone"),
-        (S.clock_problem(z["dep"]).isNotNull(), "segment leaves at a time that is skipped or comes twice"),
-        (S.clock_problem(z["arr"]).isNotNull(), "segment arrives at a time that is skipped or comes twice"),
+        (_problem(_departure(z), z["dep_zone"], z["dep_offset"]), "segment leaves at a time that is skipped or comes twice"),
+        (_problem(_arrival(z), z["arr_zone"], z["arr_offset"]), "segment arrives at a time that is skipped or comes twice"),
     ]
     return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in checks]))
 
 
-def _clean(raw: DataFrame, zone: Lookup, legacy_arrival_zone: bool) -> DataFrame:
+def _clean(raw: DataFrame, zone: Lookup, offsets: Offsets, legacy_arrival_zone: bool) -> DataFrame:
     own, other = zone(F.col("departure_station.uid")), zone(F.col("arrival_station.uid"))
     arr_zone = F.col("_dep_zone") if legacy_arrival_zone else F.col("_arr_zone")
-    rows = raw.withColumns({"_dep_zone": own, "_arr_zone": other, "_segments": F.transform("segments", lambda s: _with_zones(s, zone))})
-    rows = rows.withColumns({"_dep": S.rebased(F.col("departure_time"), F.col("_dep_zone")), "_arr": S.rebased(F.col("arrival_time"), arr_zone)})
+    zoned = _with_zones("segments", zone, offsets)
+    rows = raw.withColumns({"_dep_zone": own, "_arr_zone": other, "_dep_clock": offsets.clock(F.col("departure_time")), "_arr_clock": offsets.clock(F.col("arrival_time"))})
+    rows = rows.withColumns({"_dep_offset": offsets.offset(F.col("_dep_clock"), F.col("_dep_zone")), "_arr_offset": offsets.offset(F.col("_arr_clock"), arr_zone)})
+    rows = rows.withColumns({"_dep": S.rebased(F.col("departure_time"), F.col("_dep_zone"), F.col("_dep_clock"), F.col("_dep_offset")), "_arr": S.rebased(F.col("arrival_time"), arr_zone, F.col("_arr_clock"), F.col("_arr_offset"))})
     checks = [(F.col(c).isNull(), f"{c}: no value") for c in _NEEDED]
     checks += [((F.col(c) < 0) | ~S.is_clock_time(F.col(c)), f"{c}: bad value") for c in _TIMES]
     checks += [(~F.col("total_price").between(0, S.LIMITS["u32"]), "total_price: bad value")]
     checks += [(F.col("departure_station.uid").isNotNull() & F.col("_dep_zone").isNull(), "departure_station: no zone"), (F.col("arrival_station.uid").isNotNull() & arr_zone.isNull(), "arrival_station: no zone")]
-    checks += [(S.clock_problem(F.col("_dep")).isNotNull(), "departure_time: skipped or twice"), (S.clock_problem(F.col("_arr")).isNotNull(), "arrival_time: skipped or twice")]
+    checks += [(_problem(F.col("_dep"), F.col("_dep_zone"), F.col("_dep_offset")), "departure_time: skipped or twice"), (_problem(F.col("_arr"), arr_zone, F.col("_arr_offset")), "arrival_time: skipped or twice")]
     checks += [(F.exists("fares", lambda f: f["price"].isNull() | (f["price"] < 0) | (f["price"] > S.LIMITS["u32"]) | f["fare_class"]["uid"].isNull()), "fares: bad value")]
-    errors = F.concat(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in checks])), F.coalesce(F.flatten(F.transform("_segments", _segment_errors)), F.array().cast("array<string>")))
+    errors = F.concat(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in checks])), F.coalesce(F.flatten(F.transform(zoned, _segment_errors)), F.array().cast("array<string>")))
     segment = lambda z: F.struct(
         S.line_id(z["raw"]["line_prefix"], z["raw"]["line"]).alias("line"),
-        z["dep"].alias("departure_time"),
-        z["arr"].alias("arrival_time"),
+        _departure(z).alias("departure_time"),
+        _arrival(z).alias("arrival_time"),
         z["raw"]["departure_station"].alias("departure_station"),
         z["raw"]["arrival_station"].alias("arrival_station"),
         z["raw"]["vehicle"].alias("vehicle"),
@@ -95,9 +122,9 @@ def _clean(raw: DataFrame, zone: Lookup, legacy_arrival_zone: bool) -> DataFrame
         S.money(F.col("total_price")).alias("total_price"),
         "currency",
         *same,
-        F.transform("_segments", segment).alias("segments"),
+        _once(F.transform(zoned, segment)).alias("segments"),
         F.transform(S.empty_if_null(F.col("fares"), f"array<{FARE}>"), fare).alias("fares"),
-        F.array_distinct(errors).alias("_errors"),
+        _once(F.array_distinct(errors)).alias("_errors"),
     )
 
 
@@ -124,4 +151,4 @@ def clean_trips(raw: DataFrame, stations: DataFrame, legacy_arrival_zone: bool =
     lookup = constant_lookup(zones) if constant else None
     if lookup is None:
         raw, lookup = _joined_zones(raw, zones)
-    return _clean(raw, lookup, legacy_arrival_zone)
+    return _clean(raw, lookup, Offsets(raw.sparkSession, common_zones(zones)), legacy_arrival_zone)

@@ -9,6 +9,7 @@ from urllib.request import Request, urlopen
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedspark.functions.offsets import ZONES
 from feedspark.functions.scalars import is_zone, join_url
 
 PAYLOAD = "data array<struct<attributes:struct<code:string,time_zone:string>>>"
@@ -41,6 +42,11 @@ def station_zones(entries: DataFrame) -> DataFrame:
     return good.groupBy("code").agg(F.max(F.struct("pos", "time_zone"))["time_zone"].alias("time_zone"))
 
 
+def common_zones(zones: DataFrame) -> list[str]:
+    """The zones of most stations, the most common first."""
+    return [r.time_zone for r in zones.groupBy("time_zone").count().orderBy(F.desc("count"), "time_zone").limit(ZONES).collect()]
+
+
 def constant_lookup(zones: DataFrame) -> Callable[[Column], Column] | None:
     """A function from code to zone by a constant of the plan: small maps, found by a hash of the code.
 

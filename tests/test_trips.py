@@ -127,3 +127,27 @@ def test_scalars(spark):
     text = spark.createDataFrame([("aWQ6a2V5",), ("aWQ=",), ("YTpiOmM=",), ("%%%",), (None,)], "t string")
     assert [r[0] and tuple(r[0]) for r in text.select(S.credential(text.t)).collect()] == [("id", "key"), None, None, None, None]
     assert S.join_url("http://h/", "/a") == "http://h/a"
+
+
+def test_offsets_give_what_conversions_give(spark):
+    from feedspark.functions.offsets import Offsets
+
+    zones = ["Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "Africa/Casablanca", "Pacific/Apia", "UTC", "Asia/Tokyo"]
+    o = Offsets(spark, zones[:-1])  # times of the last zone are converted
+    # Every seven hours of sixteen years, and times outside the stretches and the clock.
+    times = spark.range(0, 20_000).selectExpr("1293840000000 + id * 25200000 + id % 7 * 600000 AS ms").union(spark.createDataFrame([(v,) for v in (None, 0, -1, 2**62, -(2**63), 253402214400000, 631151999999, 2524608000000, 2523916800000)], "ms bigint"))
+    df = times.crossJoin(spark.createDataFrame([(z,) for z in [*zones, None]], "z string")).withColumn("clock", o.clock(S.F.col("ms"))).withColumn("offset", o.offset(S.F.col("clock"), S.F.col("z")))
+    c = S.F.col
+    df = df.select("ms", "z", "offset", S.rebased(c("ms"), c("z"), c("clock"), c("offset")).alias("quick"), S.rebased(c("ms"), c("z")).alias("exact"))
+    df = df.withColumns({"problem": S.clock_problem(c("exact"))})
+    assert df.where("NOT quick <=> exact OR offset IS NOT NULL AND problem IS NOT NULL").count() == 0
+    share = df.where("z = 'Europe/Berlin' AND ms BETWEEN 1293840000000 AND 1797840000000").selectExpr("avg(CAST(offset IS NULL AS double)) AS v").first().v
+    assert 0 < share < 0.15 and df.where("z = 'Asia/Tokyo' AND offset IS NOT NULL").count() == 0 and df.where("problem IS NOT NULL").count() > 0
+
+
+def test_a_filter_does_not_clean_twice(spark):
+    raw = parse(spark, [document()])
+    clean_rows = T.clean_trips(raw, spark.createDataFrame(STATIONS, ENTRIES))
+    for df in (clean_rows.where("size(_errors) > 0").select("snapshot_id", "_errors"), clean_rows.selectExpr("explode(segments) AS s")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "dep_zone" in plan and all("dep_zone" not in line for line in plan.splitlines() if "Filter" in line)
