@@ -12,7 +12,7 @@ from functools import lru_cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from feedspark.functions.scalars import INDEX_ZONE, is_clock_time
+from feedspark.functions.scalars import INDEX_ZONE
 
 #: A stretch has 2**29 milliseconds (six days); the first begins in 1990, the last ends in 2050.
 BITS = 29
@@ -54,18 +54,23 @@ class Offsets:
     """The offsets of the index's zone and of some zones, as constants of a plan."""
 
     def __init__(self, spark: SparkSession, zones: list[str]) -> None:
-        of = {z: quiet_offsets(spark, z) for z in zones[:ZONES]}
-        self.index = F.from_json(F.lit(json.dumps({"v": quiet_offsets(spark, INDEX_ZONE)})), "struct<v:array<int>>")["v"]
-        self.zones = F.from_json(F.lit(json.dumps({"v": of})), "struct<v:map<string,array<int>>>")["v"]
+        of = {z: _millis(spark, z) for z in zones[:ZONES]}
+        self.index = F.from_json(F.lit(json.dumps({"v": _millis(spark, INDEX_ZONE)})), "struct<v:array<bigint>>")["v"]
+        self.zones = F.from_json(F.lit(json.dumps({"v": of})), "struct<v:map<string,array<bigint>>>")["v"]
 
     def clock(self, millis: Column) -> Column:
         """What the index's clock shows at ``millis``, as milliseconds; null where it takes a conversion."""
-        return F.when(is_clock_time(millis), millis + F.get(self.index, _stretch(millis)) * 1000)
+        return millis + F.get(self.index, _stretch(millis))
 
     def offset(self, clock: Column, zone: Column) -> Column:
-        """Seconds by which a zone is ahead of UTC when its clock shows ``clock``, no change being near; null where it takes a conversion."""
+        """Milliseconds by which a zone is ahead of UTC when its clock shows ``clock``, no change being near; null where it takes a conversion."""
         return F.get(F.try_element_at(self.zones, zone), _stretch(clock))
 
 
 def _stretch(millis: Column) -> Column:
-    return (F.shiftright(millis, BITS) - FIRST).cast("int")
+    return F.shiftright(millis, BITS).try_cast("int")
+
+
+def _millis(spark: SparkSession, zone: str) -> list[int | None]:
+    """Milliseconds by which a zone is ahead in each stretch since 1970, so that a time's stretch is its place."""
+    return [None] * FIRST + [None if s is None else s * 1000 for s in quiet_offsets(spark, zone)]

@@ -41,8 +41,12 @@ def parse_number(text: Column, kind: str) -> Column:
 
 def line_id(prefix: Column, suffix: Column) -> Column:
     """Prefix and suffix joined by a space, white space around them left out; null if nothing is left."""
-    joined = F.concat_ws(" ", prefix, suffix)
-    return F.nullif(F.regexp_replace(joined, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(line_name(prefix, suffix), F.lit(""))
+
+
+def line_name(prefix: Column, suffix: Column) -> Column:
+    """The same, empty if nothing is left: ``nullif`` takes its value twice, which expressions over arrays compute twice."""
+    return F.regexp_replace(F.concat_ws(" ", prefix, suffix), r"(?U)^\s+|\s+$", "")
 
 
 def money(cents: Column) -> Column:
@@ -61,7 +65,7 @@ def utc_naive(millis: Column) -> Column:
 
 
 def _naive(millis: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", millis * 1000, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.timestamp_add("MILLISECOND", millis, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def utc_instant(millis: Column) -> Column:
@@ -99,7 +103,7 @@ def rebased(millis: Column, zone: Column, clock: Column | None = None, offset: C
         local = F.coalesce(_naive(clock), local)
     instant = convert_naive(zone, F.lit("UTC"), local)
     if clock is not None and offset is not None:
-        instant = F.coalesce(_naive(clock - offset * 1000), instant)
+        instant = F.coalesce(_naive(clock - offset), instant)
     return F.when(is_clock_time(millis) & zone.isNotNull(), F.struct(instant.alias("instant"), local.alias("local"), zone.alias("tz")))
 
 

@@ -43,24 +43,30 @@ def total_hits(df: DataFrame, column: str = "body") -> DataFrame:
     return df.select(F.from_json(column, ENVELOPE, {"mode": "PERMISSIVE"})["hits"]["total"]["value"].alias("total_hits"))
 
 
-def _with_zones(segments: str, zone: Lookup, offsets: Offsets) -> Column:
-    """Segments with their stations' zones and offsets, each looked up once: what a step uses more than once, the step before has made."""
-    looked = F.transform(segments, lambda s: F.struct(
-        s.alias("raw"), zone(s["departure_station"]["uid"]).alias("dep_zone"), zone(s["arrival_station"]["uid"]).alias("arr_zone"),
-        offsets.clock(s["departure_time"]).alias("dep_clock"), offsets.clock(s["arrival_time"]).alias("arr_clock"),
-    ))
-    return F.transform(looked, lambda z: F.struct(
-        *[z[c].alias(c) for c in ("raw", "dep_zone", "arr_zone", "dep_clock", "arr_clock")],
-        offsets.offset(z["dep_clock"], z["dep_zone"]).alias("dep_offset"), offsets.offset(z["arr_clock"], z["arr_zone"]).alias("arr_offset"),
-    ))
+#: The parts of `_zoned`, as a struct or as columns.
+Zoned = Column | dict[str, Column]
 
 
-def _departure(z: Column) -> Column:
-    return S.rebased(z["raw"]["departure_time"], z["dep_zone"], z["dep_clock"], z["dep_offset"])
+def _zoned(s: Column, zone: Lookup, offsets: Offsets) -> dict[str, Column]:
+    """A segment, its stations' zones, its clocks and its line, each found once: what a step uses more than once, the step before has made."""
+    return {
+        "raw": s, "dep_zone": zone(s["departure_station"]["uid"]), "arr_zone": zone(s["arrival_station"]["uid"]),
+        "dep_clock": offsets.clock(s["departure_time"]), "arr_clock": offsets.clock(s["arrival_time"]), "line": S.line_name(s["line_prefix"], s["line"]),
+    }
 
 
-def _arrival(z: Column) -> Column:
-    return S.rebased(z["raw"]["arrival_time"], z["arr_zone"], z["arr_clock"], z["arr_offset"])
+def _departure(z: Zoned, offsets: Offsets) -> Column:
+    return S.rebased(z["raw"]["departure_time"], z["dep_zone"], z["dep_clock"], offsets.offset(z["dep_clock"], z["dep_zone"]))
+
+
+def _arrival(z: Zoned, offsets: Offsets) -> Column:
+    return S.rebased(z["raw"]["arrival_time"], z["arr_zone"], z["arr_clock"], offsets.offset(z["arr_clock"], z["arr_zone"]))
+
+
+def _segment(z: Zoned, offsets: Offsets) -> list[Column]:
+    """The fields of a clean segment."""
+    same = [z["raw"][c].alias(c) for c in ("departure_station", "arrival_station", "vehicle")]
+    return [F.nullif(z["line"], F.lit("")).alias("line"), _departure(z, offsets).alias("departure_time"), _arrival(z, offsets).alias("arrival_time"), *same]
 
 
 def _once(value: Column) -> Column:
@@ -73,7 +79,7 @@ def _problem(rebased: Column, zone: Column, offset: Column) -> Column:
     return F.when(zone.isNotNull() & offset.isNull(), S.clock_problem(rebased).isNotNull())
 
 
-def _segment_errors(z: Column) -> Column:
+def _segment_errors(z: Zoned, offsets: Offsets) -> Column:
     s = z["raw"]
     checks = [
         (s["departure_station"]["uid"].isNull() | s["arrival_station"]["uid"].isNull(), "segment without a station"),
@@ -83,8 +89,8 @@ def _segment_errors(z: Column) -> Column:
         (~F.coalesce(s["vehicle"]["type"].isin(*VEHICLES), F.lit(False)), "segment of an unknown vehicle"),
         (s["departure_station"]["uid"].isNotNull() & z["dep_zone"].isNull(), "segment from a station without a zone"),
         (s["arrival_station"]["uid"].isNotNull() & z["arr_zone"].isNull(), "segment to a station without a zone"),
-        (_problem(_departure(z), z["dep_zone"], z["dep_offset"]), "segment leaves at a time that is skipped or comes twice"),
-        (_problem(_arrival(z), z["arr_zone"], z["arr_offset"]), "segment arrives at a time that is skipped or comes twice"),
+        (_problem(_departure(z, offsets), z["dep_zone"], offsets.offset(z["dep_clock"], z["dep_zone"])), "segment leaves at a time that is skipped or comes twice"),
+        (_problem(_arrival(z, offsets), z["arr_zone"], offsets.offset(z["arr_clock"], z["arr_zone"])), "segment arrives at a time that is skipped or comes twice"),
     ]
     return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in checks]))
 
@@ -92,7 +98,7 @@ def _segment_errors(z: Column) -> Column:
 def _clean(raw: DataFrame, zone: Lookup, offsets: Offsets, legacy_arrival_zone: bool) -> DataFrame:
     own, other = zone(F.col("departure_station.uid")), zone(F.col("arrival_station.uid"))
     arr_zone = F.col("_dep_zone") if legacy_arrival_zone else F.col("_arr_zone")
-    zoned = _with_zones("segments", zone, offsets)
+    zoned = F.transform("segments", lambda s: F.struct(*[c.alias(n) for n, c in _zoned(s, zone, offsets).items()]))
     rows = raw.withColumns({"_dep_zone": own, "_arr_zone": other, "_dep_clock": offsets.clock(F.col("departure_time")), "_arr_clock": offsets.clock(F.col("arrival_time"))})
     rows = rows.withColumns({"_dep_offset": offsets.offset(F.col("_dep_clock"), F.col("_dep_zone")), "_arr_offset": offsets.offset(F.col("_arr_clock"), arr_zone)})
     rows = rows.withColumns({"_dep": S.rebased(F.col("departure_time"), F.col("_dep_zone"), F.col("_dep_clock"), F.col("_dep_offset")), "_arr": S.rebased(F.col("arrival_time"), arr_zone, F.col("_arr_clock"), F.col("_arr_offset"))})
@@ -102,15 +108,7 @@ def _clean(raw: DataFrame, zone: Lookup, offsets: Offsets, legacy_arrival_zone:
     checks += [(F.col("departure_station.uid").isNotNull() & F.col("_dep_zone").isNull(), "departure_station: no zone"), (F.col("arrival_station.uid").isNotNull() & arr_zone.isNull(), "arrival_station: no zone")]
     checks += [(_problem(F.col("_dep"), F.col("_dep_zone"), F.col("_dep_offset")), "departure_time: skipped or twice"), (_problem(F.col("_arr"), arr_zone, F.col("_arr_offset")), "arrival_time: skipped or twice")]
     checks += [(F.exists("fares", lambda f: f["price"].isNull() | (f["price"] < 0) | (f["price"] > S.LIMITS["u32"]) | f["fare_class"]["uid"].isNull()), "fares: bad value")]
-    errors = F.concat(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in checks])), F.coalesce(F.flatten(F.transform(zoned, _segment_errors)), F.array().cast("array<string>")))
-    segment = lambda z: F.struct(
-        S.line_id(z["raw"]["line_prefix"], z["raw"]["line"]).alias("line"),
-        _departure(z).alias("departure_time"),
-        _arrival(z).alias("arrival_time"),
-        z["raw"]["departure_station"].alias("departure_station"),
-        z["raw"]["arrival_station"].alias("arrival_station"),
-        z["raw"]["vehicle"].alias("vehicle"),
-    )
+    errors = F.concat(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in checks])), F.coalesce(F.flatten(F.transform(zoned, lambda z: _segment_errors(z, offsets))), F.array().cast("array<string>")))
     fare = lambda f: F.struct(S.money(f["price"]).alias("price"), f["fare_class"].alias("fare_class"), F.col("currency").alias("currency"))
     same = ("booked_out", "electronic_ticket_available", "departure_date", "departure_station", "arrival_station", "marketing_carrier", "departure_city", "arrival_city", "departure_area", "arrival_area")
     return rows.select(
@@ -122,7 +120,7 @@ def _clean(raw: DataFrame, zone: Lookup, offsets: Offsets, legacy_arrival_zone:
         S.money(F.col("total_price")).alias("total_price"),
         "currency",
         *same,
-        _once(F.transform(zoned, segment)).alias("segments"),
+        _once(F.transform(zoned, lambda z: F.struct(*_segment(z, offsets)))).alias("segments"),
         F.transform(S.empty_if_null(F.col("fares"), f"array<{FARE}>"), fare).alias("fares"),
         _once(F.array_distinct(errors)).alias("_errors"),
     )
@@ -138,6 +136,15 @@ def _joined_zones(raw: DataFrame, zones: DataFrame) -> tuple[DataFrame, Lookup]:
     return keyed.join(maps, "_stations", "left"), lambda code: F.try_element_at(F.col("_zones"), code)
 
 
+def _looked_up(raw: DataFrame, stations: DataFrame, constant: bool) -> tuple[DataFrame, Lookup, Offsets]:
+    """Documents, and what finds a station's zone and a zone's offset for them."""
+    zones = station_zones(stations)
+    lookup = constant_lookup(zones) if constant else None
+    if lookup is None:
+        raw, lookup = _joined_zones(raw, zones)
+    return raw, lookup, Offsets(raw.sparkSession, common_zones(zones))
+
+
 def clean_trips(raw: DataFrame, stations: DataFrame, legacy_arrival_zone: bool = False, constant: bool = True) -> DataFrame:
     """Clean documents with ``_errors``, from raw ones and station entries (code, time_zone, pos).
 
@@ -147,8 +154,19 @@ def clean_trips(raw: DataFrame, stations: DataFrame, legacy_arrival_zone: bool =
     missing and bad values (money and times that don't fit are null), stations without a zone, unknown vehicles and times that a clock skips or shows twice. The order of
     segments is kept. The dimension is a constant of the plan while it is small enough, and joined beyond.
     """
-    zones = station_zones(stations)
-    lookup = constant_lookup(zones) if constant else None
-    if lookup is None:
-        raw, lookup = _joined_zones(raw, zones)
-    return _clean(raw, lookup, Offsets(raw.sparkSession, common_zones(zones)), legacy_arrival_zone)
+    raw, lookup, offsets = _looked_up(raw, stations, constant)
+    return _clean(raw, lookup, offsets, legacy_arrival_zone)
+
+
+def clean_segments(raw: DataFrame, stations: DataFrame, constant: bool = True) -> DataFrame:
+    """The segments that exploding :func:`clean_trips` gives, one row each, with the ``snapshot_id`` of their document and a column for each field.
+
+    They are exploded before they are cleaned: rows are cleaned by generated code, while Spark interprets expressions over arrays.
+    """
+    raw, lookup, offsets = _looked_up(raw, stations, constant)
+    zones = ["_zones"] if "_zones" in raw.columns else []
+    rows = raw.select("snapshot_id", *zones, F.explode("segments").alias("s"))
+    zoned = _zoned(F.col("s"), lookup, offsets)
+    # Columns and no struct: a struct's parts would be computed again wherever they are used.
+    rows = rows.select("snapshot_id", *[c.alias(n) for n, c in zoned.items()])
+    return rows.select("snapshot_id", *_segment({n: F.col(n) for n in zoned}, offsets))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from feedspark.functions import scalars as S
 from feedspark.operators.collection import count_report, export_archive, load_feed, read_feed, simple_route
-from feedspark.operators.trips import RAW, clean_trips, parse_responses, total_hits
+from feedspark.operators.trips import SEGMENT, clean_segments, clean_trips, parse_responses, total_hits
 from feedspark.registry import CODES, table_spec, tables
 from feedspark.sources import csvio, paging
 from feedspark.sources.appended import AppendedTable
@@ -715,26 +715,27 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     ms = lambda c: F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {c})") + 12 * 3600 * 1000
     station = lambda c: F.struct(F.concat(F.lit("st"), F.col(c) % 25).alias("uid"))
-    # Only what tells lines apart is shuffled, dealt to as many tasks as are set, as cleaning costs more than reading; documents take their form afterwards.
+    # Only what tells lines apart is shuffled, dealt to as many tasks as are set, as cleaning costs more than reading; lines take their form
+    # after that and before they are collected, in generated code.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", F.when(F.col("l_linestatus") == "O", F.col("l_linestatus")).alias("prefix"), ms("l_shipdate").alias("at"))
-    lines = li.select("l_orderkey", line.alias("line")).repartition(parts, "l_orderkey")
-    # Rows repeat an order's line number, so the line's part breaks ties.
-    legs = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("x"))
-    d = o.repartition(parts, "o_orderkey").join(legs, o.o_orderkey == legs.l_orderkey, "left")
-    stop = lambda c: F.struct(F.concat(F.lit("st"), c % 25).alias("uid"))
-    seg = lambda v: F.struct(
-        v["l_linenumber"].cast("bigint").alias("index"), F.struct(F.lit("op").alias("uid")).alias("operating_carrier"), v["l_returnflag"].alias("line"), v["prefix"].alias("line_prefix"),
-        v["at"].alias("departure_time"), (v["at"] + 3600000).alias("arrival_time"), stop(v["l_suppkey"]).alias("departure_station"), stop(v["l_partkey"]).alias("arrival_station"), F.struct(F.lit("BUS").alias("type")).alias("vehicle"),
+    line = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", F.when(F.col("l_linestatus") == "O", F.col("l_linestatus")).alias("prefix"), ms("l_shipdate").alias("at"))
+    lines = li.select(*line).repartition(parts, "l_orderkey")
+    seg = F.struct(
+        F.col("l_linenumber").cast("bigint").alias("index"), F.struct(F.lit("op").alias("uid")).alias("operating_carrier"), F.col("l_returnflag").alias("line"), F.col("prefix").alias("line_prefix"),
+        F.col("at").alias("departure_time"), (F.col("at") + 3600000).alias("arrival_time"), station("l_suppkey").alias("departure_station"), station("l_partkey").alias("arrival_station"), F.struct(F.lit("BUS").alias("type")).alias("vehicle"),
     )
-    fare = lambda v: F.struct(F.round(v["l_extendedprice"] * 100).cast("bigint").alias("price"), F.struct(v["l_returnflag"].alias("uid")).alias("fare_class"))
+    fare = F.struct(F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price"), F.struct(F.col("l_returnflag").alias("uid")).alias("fare_class"))
+    # Rows repeat an order's line number, so the line's part and what follows break ties.
+    formed = lines.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", seg.alias("segment"), fare.alias("fare")).alias("line"))
+    legs = formed.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("x"))
+    d = o.repartition(parts, "o_orderkey").join(legs, o.o_orderkey == legs.l_orderkey, "left")
     some = F.struct(F.lit(None).cast("string").alias("uid"))
     uid = lambda c: F.struct(c.alias("uid"))
     return d.select(
         F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("snapshot_id"), ms("o_orderdate").alias("snapshot_timestamp"), F.col("o_orderstatus").alias("snapshot_uid"), ms("o_orderdate").alias("departure_time"), (ms("o_orderdate") + 7200000).alias("arrival_time"),
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("total_price"), F.lit("EUR").alias("currency"), (F.col("o_orderkey") % 2 == 0).alias("booked_out"), F.lit(None).cast("boolean").alias("electronic_ticket_available"), F.col("o_orderdate").cast("date").cast("string").alias("departure_date"),
         station("o_custkey").alias("departure_station"), station("o_orderkey").alias("arrival_station"), uid(F.col("o_orderpriority")).alias("marketing_carrier"), some.alias("departure_city"), some.alias("arrival_city"), some.alias("departure_area"), some.alias("arrival_area"),
-        S.empty_if_null(F.transform("x", seg), "array<" + RAW.split("segments array<")[1].split(">, fares")[0] + ">").alias("segments"), F.transform("x", fare).alias("fares"),
+        S.empty_if_null(F.col("x.segment"), f"array<{SEGMENT}>").alias("segments"), F.col("x.fare").alias("fares"),
     )
 
 
@@ -761,8 +762,8 @@ FROM o LEFT JOIN legs ON l_orderkey = o_orderkey LEFT JOIN stations d ON d.code
 
 def q_nested_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean segments, one row each."""
-    c = _clean(spark, sf_dir).select("snapshot_id", F.explode("segments").alias("s"))
-    return c.select("snapshot_id", F.col("s.line").alias("line"), F.col("s.departure_time.tz").alias("tz"), F.col("s.departure_time.local").alias("local"), F.col("s.arrival_station.uid").alias("to_station"), F.col("s.vehicle.type").alias("vehicle"))
+    c = clean_segments(_documents(spark, sf_dir), _entries(spark, sf_dir))
+    return c.select("snapshot_id", "line", F.col("departure_time.tz").alias("tz"), F.col("departure_time.local").alias("local"), F.col("arrival_station.uid").alias("to_station"), F.col("vehicle.type").alias("vehicle"))
 
 
 SQL["q_nested_segments"] = f"""

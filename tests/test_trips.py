@@ -151,3 +151,29 @@ def test_a_filter_does_not_clean_twice(spark):
     for df in (clean_rows.where("size(_errors) > 0").select("snapshot_id", "_errors"), clean_rows.selectExpr("explode(segments) AS s")):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "dep_zone" in plan and all("dep_zone" not in line for line in plan.splitlines() if "Filter" in line)
+
+
+@pytest.mark.parametrize("constant", [True, False])
+def test_clean_segments_are_those_of_clean_trips(spark, constant):
+    docs = [
+        document(snapshot_id="a", segments=[segment(), segment(line=None, line_prefix=" ", departure_station={"uid": "none"}), segment(departure_time=10**16, arrival_time=None)]),
+        document(snapshot_id="b", segments=[]),
+        document(snapshot_id="c", segments=None),
+        document(snapshot_id="d", segments=[None, segment(line=" x\u3000", line_prefix=None, departure_time=1679789700000, arrival_time=1698539400000, arrival_station={"uid": "ber"}), segment(departure_station=None, vehicle=None)]),
+    ]
+    stations = spark.createDataFrame(STATIONS, ENTRIES)
+    want = T.clean_trips(parse(spark, docs), stations, constant=constant).selectExpr("snapshot_id", "inline(segments)")
+    got = T.clean_segments(parse(spark, docs), stations, constant=constant)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 6
+
+
+def test_segments_are_cleaned_by_generated_code(spark):
+    from feedspark.plans import queries as Q
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    # Spark interprets functions over arrays; a plan shows their arguments as lambdas.
+    assert "lambda" not in plan(Q.q_nested_segments(spark, "/root/testdata/sf0.001"))
+    assert "lambda" not in plan(Q._documents(spark, "/root/testdata/sf0.001"))
