@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zoneinfo
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -51,7 +52,7 @@ def line_name(prefix: Column, suffix: Column) -> Column:
 
 def money(cents: Column) -> Column:
     """Cents as decimal(10, 2); null if they don't fit."""
-    return (cents.try_cast("decimal(10,0)") / 100).try_cast("decimal(10,2)")
+    return (cents.try_cast("decimal(10,0)") * F.lit(Decimal("0.01"))).try_cast("decimal(10,2)")
 
 
 def is_clock_time(millis: Column) -> Column:

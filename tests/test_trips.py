@@ -177,3 +177,14 @@ def test_segments_are_cleaned_by_generated_code(spark):
     # Spark interprets functions over arrays; a plan shows their arguments as lambdas.
     assert "lambda" not in plan(Q.q_nested_segments(spark, "/root/testdata/sf0.001"))
     assert "lambda" not in plan(Q._documents(spark, "/root/testdata/sf0.001"))
+
+
+def test_a_line_is_named_once(spark):
+    rows = T.clean_trips(parse(spark, [document()]), spark.createDataFrame(STATIONS, ENTRIES)).select(S.F.size("segments"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("concat_ws") == 1
+
+
+def test_money_is_exact(spark):
+    cents = [0, 1, -1, 99, -199, 4294967295, 9_999_999_999, -9_999_999_999, 10**10, -(10**10), 2**62, None]
+    got = [r[0] for r in spark.createDataFrame([(i, c) for i, c in enumerate(cents)], "i int, c bigint").orderBy("i").select(S.money(S.F.col("c"))).collect()]
+    assert got == [None if c is None or abs(c) >= 10**10 else Decimal(c).scaleb(-2) for c in cents]
